@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitloom.llm import decontamination, sharding, simhash_dedup, toxicity
+from unitloom.llm import decontamination, license_scan, sharding, simhash_dedup, token_counts, toxicity
 from unitloom.storage import read_table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
@@ -29,7 +37,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_toxicity, op6_decontamination, op7_sharding, op9_simhash_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op5_toxicity, op6_decontamination, op7_sharding, op9_simhash_dedup)}
 
 
 OP6_SQL = r"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitloom.llm import decontamination, license_scan, sharding, simhash_dedup, token_counts, toxicity
+from unitloom.llm import chat_formatting, decontamination, embedding_dedup, license_scan, line_dedup, mixing, sharding, simhash_dedup, token_counts, toxicity
 from unitloom.storage import read_table
 
 
@@ -18,6 +18,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
@@ -32,12 +40,24 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.formatted(read_table(spark, sf_dir, "conversations"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op5_toxicity, op6_decontamination, op7_sharding, op9_simhash_dedup)}
+    found = (
+        op1_token_counts, op2_license_scan, op3_embedding_dedup, op4_line_dedup, op5_toxicity, op6_decontamination, op7_sharding,
+        op8_chat_formatting, op9_simhash_dedup, op10_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP6_SQL = r"""
@@ -61,4 +81,4 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL}
+    return {"op3_embedding_dedup": embedding_dedup.SQL, "op4_line_dedup": line_dedup.SQL, "op6_decontamination": OP6_SQL, "op8_chat_formatting": chat_formatting.SQL}

@@ -12,7 +12,7 @@ place, and one a boundary between shards) and joined by place.
 
 Defined results: a null text has size 16, crc32 0 and the key of the empty text; rows that are equal in all of text and
 doc_id are interchangeable; an empty table gives no rows; other columns are ignored by `assign` unless it is asked to carry
-them, and then kept under their names.
+them, and then kept under their names, but for those named as a column of the result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from unitloom.storage import materialize
 
 SHARDS, VNODES, PLACES = 40, 128, 1 << 16
+_OWN = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "home_shard"}
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -76,6 +77,7 @@ def plan(counts: dict[int, int], shards: int, vnodes: int = VNODES) -> list[tupl
 def assign(docs: DataFrame, shards: int = SHARDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, home_shard), and the columns asked for."""
     spark = docs.sparkSession
+    carry = tuple(c for c in carry if c.lower() not in _OWN)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.struct(*carry).alias("__own") if carry else F.lit(None).cast("int").alias("__own"),
@@ -94,6 +96,6 @@ def assign(docs: DataFrame, shards: int = SHARDS, carry: tuple[str, ...] = ()) -
     ranked = dealt.join(F.broadcast(starts), F.col("__part") == F.col("part")).withColumn("__rank", F.col("before") + F.col("__at").bitwiseAND((1 << 33) - 1))
     placed = ranked.join(F.broadcast(where), (F.col("__place") == F.col("place")) & (F.col("__rank") >= F.col("low")) & (F.col("__rank") < F.col("high")))
     return placed.select(
-        *[F.col(f"__own.`{c}`").alias(c) for c in carry if c != "doc_id"], F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard",
+        *[F.col(f"__own.`{c}`").alias(c) for c in carry], F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard",
         (F.col("first") + F.col("__rank") - F.col("low")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("home").alias("home_shard"),
     )

@@ -46,3 +46,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
 def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(7)))).first())
+
+
+def graph_stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: vertices, edges and the mean degree (0 without vertices)."""
+    v, e = vertices.agg(F.count("*").alias("vertices")), edges.agg(F.count("*").alias("edges"))
+    return v.join(e).withColumn("avg_degree", F.when(F.col("vertices") == 0, 0.0).otherwise(2 * F.col("edges") / F.col("vertices")))
+
+
+def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, degree, strength); vertices without an edge have 0."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"), "weight").groupBy("id").agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
+    return vertices.select("id").join(ends, "id", "left").na.fill(0, ["degree"]).na.fill(0.0, ["strength"])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitloom.plans import sequence_queries
+from unitloom.plans import report_queries, sequence_queries, vector_queries
 
-MODULES = (sequence_queries,)
+MODULES = (sequence_queries, vector_queries, report_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

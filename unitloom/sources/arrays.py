@@ -7,9 +7,11 @@ the root without the extension.
 from __future__ import annotations
 
 import io
+import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,11 +70,7 @@ def write_segments(rows: DataFrame, root: str) -> DataFrame:
     """Write (utt, seg_idx, start_frame, end_frame, unit_id) as one `.npy` an utterance under ``root`` (a path that all executors
     share); returns (utt, n_rows), which runs the write when it is used. Files that are complete are left alone."""
 
-    def run(key: tuple, pdf):
-        import os
-
-        import pandas as pd
-
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         path = f"{root.split('://', 1)[-1]}/{key[0]}.npy"
         pdf = pdf.sort_values("seg_idx")
         if not complete(path, len(pdf)):

@@ -34,6 +34,8 @@ from unitloom.storage import materialize
 
 MAX_TRAINING, MAX_TERMS, MAX_EXCEPTIONS, THRESHOLD = 20_000, 4_000, 500, 0.3
 LEAST_DOCS, LEAST_WEIGHT, PREFIXES = 6, 2.5, range(4, 11)
+#: A term of less weight is a candidate too if so many toxic documents have it: clean ones may have it in a harmless phrase.
+COMMON_WEIGHT, COMMON_SHARE = 1.0, 0.05
 # Letters that look like Latin ones (Cyrillic, Greek, dotless and small capitals).
 LOOKALIKES = str.maketrans(
     "абвгдеёзикмнорстухчьѕіїјһԁԛԝօοαβεικνρτυχѵӏıɑɡʏ" + "​‌‍⁠­﻿",
@@ -91,6 +93,16 @@ class Lexicon:
 
     def hits(self, folded: str) -> dict[int, float]:
         """Place of each word that counts, with its weight."""
+        best, spared = self._found(folded)
+        return {k: w for k, w in best.items() if not any(a <= k < b for a, b in spared)} if spared else best
+
+    def masked(self, folded: str) -> str:
+        """The text without its exception phrases."""
+        for a, b in reversed(self._found(folded)[1]):
+            folded = folded[: a + 1] + folded[b:] if a + 1 < b else folded
+        return folded
+
+    def _found(self, folded: str) -> tuple[dict[int, float], list[tuple[int, int]]]:
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         if len(self._matcher):
@@ -100,7 +112,7 @@ class Lexicon:
                     spared.append((at, end))
                 elif w > best.get(at, 0):
                     best[at] = w
-        return {k: w for k, w in best.items() if not any(a <= k < b for a, b in spared)} if spared else best
+        return best, spared
 
     def features(self, text: str) -> tuple[float, float, float]:
         folded = fold(text)
@@ -171,9 +183,10 @@ def _contexts(lexicon: Lexicon):
     return count
 
 
-def _weights(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
+def _weights(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, common: bool = False) -> dict[str, float]:
     found = {t: float(np.log((a + 0.5) / (n_toxic + 1)) - np.log((clean.get(t, 0) + 0.5) / (n_clean + 1))) for t, a in toxic.items()}
-    found = dict(sorted(((t, w) for t, w in found.items() if w >= LEAST_WEIGHT), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
+    enough = lambda t, w: w >= LEAST_WEIGHT or common and w >= COMMON_WEIGHT and toxic[t] >= COMMON_SHARE * n_toxic
+    found = dict(sorted(((t, w) for t, w in found.items() if enough(t, w)), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
     shorter = lambda t: (t[:n] for n in range(PREFIXES[0] + 1, len(t)))
     # a beginning that stands for one longer term is that term; a term adds nothing to a beginning that weighs about as much
     found = {t: found[t] for t in found.keys() - {s for t in found for s in shorter(t) if s in found and toxic[t] >= 0.9 * toxic[s]}}
@@ -203,12 +216,20 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Lexic
     toxic = {r.term: r.n for r in _counted(known.where("toxic = 1"), _all_terms).where(F.col("n") >= LEAST_DOCS).collect()}
     wanted = frozenset(toxic)
     clean = {r.term: r.n for r in _counted(known.where("toxic = 0"), lambda folded: _all_terms(folded) & wanted).collect()}
-    lexicon = Lexicon(_weights(toxic, clean, n_toxic, n_clean))
-    context = _contexts(lexicon)
-    spared = {r.term: r.n for r in _counted(known.where("toxic = 0"), context).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(MAX_EXCEPTIONS).collect()}
+    candidates = Lexicon(_weights(toxic, clean, n_toxic, n_clean, common=True))
+    context = _contexts(candidates)
+    usual = _counted(known.where("toxic = 0"), context).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(MAX_EXCEPTIONS)
+    spared = {r.term: r.n for r in usual.collect()}
     if spared:
-        usual = {r.term: r.n for r in _counted(known.where("toxic = 1"), lambda folded: context(folded) & spared.keys()).collect()}
-        lexicon = Lexicon(lexicon.weights, tuple(sorted(t for t, n in spared.items() if usual.get(t, 0) * 4 < n)))
+        theirs = {r.term: r.n for r in _counted(known.where("toxic = 1"), lambda folded: context(folded) & spared.keys()).collect()}
+        spared = {t: n for t, n in spared.items() if theirs.get(t, 0) * 4 < n}
+    if spared:  # the terms are weighed again, without what stands in the phrases
+        masks = Lexicon({}, tuple(sorted(spared)))
+        again = lambda folded: _all_terms(masks.masked(folded)) & wanted
+        toxic, clean = ({r.term: r.n for r in _counted(known.where(f"toxic = {k}"), again).collect()} for k in (1, 0))
+        toxic = {t: n for t, n in toxic.items() if n >= LEAST_DOCS}
+    weights = _weights(toxic, clean, n_toxic, n_clean)
+    lexicon = Lexicon(weights, tuple(t for t in sorted(spared) if any(w in t for w in weights)))
     model = lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,14 +34,16 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
         atexit.register(clean)
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
 def release(df: DataFrame) -> None:
     """Delete the table behind a frame returned by `materialize`; its rows must not be needed any more."""
-    for spark, path in [x for x in _written if any(x[1].split(":")[-1].lstrip("/") in f for f in df.inputFiles()[:1])]:
-        _delete(spark, path)
-        _written.remove((spark, path))
+    for known in [x for x in _written if x[1] == df.written_to]:
+        _delete(*known)
+        _written.remove(known)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from unitloom.storage import materialize
 
 MAX_TRAINING, MAX_TERMS, MAX_EXCEPTIONS, THRESHOLD = 20_000, 4_000, 500, 0.3
-LEAST_DOCS, LEAST_WEIGHT, PREFIXES = 6, 2.5, range(4, 11)
+LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT, PREFIXES = 6, 0.005, 2.5, range(4, 11)
 #: A term of less weight is a candidate too if so many toxic documents have it: clean ones may have it in a harmless phrase.
 COMMON_WEIGHT, COMMON_SHARE = 1.0, 0.05
 # Letters that look like Latin ones (Cyrillic, Greek, dotless and small capitals).
@@ -135,11 +135,11 @@ def held_out() -> F.Column:
 
 
 def _training(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``most`` labelled documents that are not held out."""
+    """(doc_id, text, toxic) of at most ``most`` labelled documents that are not held out; of equal texts one, lest copies make terms."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most this many ids: small enough to broadcast
     texts = docs.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(texts.join(F.broadcast(chosen), F.col("__id") == F.col("doc_id")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]), "labelled")
+    return materialize(texts.join(F.broadcast(chosen), F.col("__id") == F.col("doc_id")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).dropDuplicates(["text", "toxic"]), "labelled")
 
 
 def _counted(texts: DataFrame, count) -> DataFrame:
@@ -213,7 +213,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Lexic
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic + n_clean:
         return Lexicon()
-    toxic = {r.term: r.n for r in _counted(known.where("toxic = 1"), _all_terms).where(F.col("n") >= LEAST_DOCS).collect()}
+    least = max(LEAST_DOCS, int(LEAST_SHARE * n_toxic))
+    toxic = {r.term: r.n for r in _counted(known.where("toxic = 1"), _all_terms).where(F.col("n") >= least).collect()}
     wanted = frozenset(toxic)
     clean = {r.term: r.n for r in _counted(known.where("toxic = 0"), lambda folded: _all_terms(folded) & wanted).collect()}
     candidates = Lexicon(_weights(toxic, clean, n_toxic, n_clean, common=True))
@@ -227,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Lexic
         masks = Lexicon({}, tuple(sorted(spared)))
         again = lambda folded: _all_terms(masks.masked(folded)) & wanted
         toxic, clean = ({r.term: r.n for r in _counted(known.where(f"toxic = {k}"), again).collect()} for k in (1, 0))
-        toxic = {t: n for t, n in toxic.items() if n >= LEAST_DOCS}
+        toxic = {t: n for t, n in toxic.items() if n >= least}
     weights = _weights(toxic, clean, n_toxic, n_clean)
     lexicon = Lexicon(weights, tuple(t for t in sorted(spared) if any(w in t for w in weights)))
     model = lexicon

@@ -3,9 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitloom.operators import graph, infer, kmeans, leiden, runs, vectors
+from unitloom.operators.ranking import rank_frequency
 from unitloom.plans.vector_queries import subsample
 from unitloom.sources import arrays, tables, textgrid
 from unitloom.streaming.labels import label_stream
+from unitloom.track import tracked
 
 
 @pytest.fixture(scope="module")
@@ -167,6 +169,8 @@ def test_array_files(spark, tmp_path):
     assert arrays.write_segments(rows, str(tmp_path / "s")).collect()[0].n_rows == 2
     assert sorted(map(tuple, arrays.segments(spark, str(tmp_path / "s")).collect())) == [("u/v", 0, 0, 5, 1), ("u/v", 1, 5, 9, 2)]
     assert arrays.complete(str(tmp_path / "s/u/v.npy"), 2) and not arrays.complete(str(tmp_path / "s/u/v.npy"), 3)
+    wild = arrays.features(spark, str(tmp_path / "f" / "b*"))
+    assert {r.utt for r in wild.collect()} == {"b/two", "b-c/x"}
     with pytest.raises(FileNotFoundError):
         arrays.files(spark, str(tmp_path), ".none")
 
@@ -213,6 +217,23 @@ def test_log_and_models(spark, tmp_path):
     assert tables.read_matrix(spark, str(tmp_path / "m")).tolist() == [[1, 2], [3, 4]]
 
 
+def test_ranks_over_a_table(spark):
+    rows = [(g, f"{i:03}", (i * 7) % 10 + 1) for g in "ab" for i in range(60)]
+    made = spark.createDataFrame(rows, "g string, name string, n int").repartition(5)
+    found = {(r.g, r.name): (r.rank, r.probability) for r in rank_frequency(made, "g").collect()}
+    for g in "ab":
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+        total = sum(r[2] for r in order)
+        assert [found[g, r[1]] for r in order] == [(i, round(r[2] / total, 9)) for i, r in enumerate(order, 1)]
+    assert rank_frequency(made.limit(0).drop("g")).count() == 0
+
+
+def test_tracked():
+    with tracked(0.01) as usage:
+        held = bytearray(30 << 20)
+    assert usage.seconds > 0 and usage.peak_mb >= len(held) / (1 << 20)
+
+
 def test_report_puts_unknown_scores_last(spark):
     log = spark.createDataFrame([("a", float("nan")), ("b", 0.25), ("c", None)], "run string, f1_wnes double")
     assert [(r.run) for r in runs.report(log).collect()] == ["b", "a", "c"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from unitloom.functions import scalars
 from unitloom.operators import agreement, boundaries, intervals
+from unitloom.operators.ranking import rank_frequency
 from unitloom.plans import timeline
 from unitloom.storage import read_table
 
@@ -133,25 +134,18 @@ gr AS (
 """
 
 
-def _ranked(rows: DataFrame, *groups: str) -> DataFrame:
-    """Rank-frequency rows: probability and rank (ties by name) within the groups."""
-    w = Window.partitionBy(*groups).orderBy(F.desc("n"), "name")
-    every = Window.partitionBy(*groups)
-    return rows.withColumns({"rank": F.row_number().over(w).cast("long"), "probability": F.round(F.col("n") / F.sum("n").over(every), 9)})
-
-
 def zipf_phone_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(phone_ngrams(spark, sf_dir).withColumnRenamed("gram", "name"), "order")
+    return rank_frequency(phone_ngrams(spark, sf_dir).withColumnRenamed("gram", "name"), "order")
 
 
 def zipf_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = timeline.segments(spark, sf_dir).groupBy(F.col("cluster").cast("string").alias("name")).agg(F.count("*").alias("n"))
-    return _ranked(counts)
+    return rank_frequency(counts)
 
 
 def zipf_phone_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = timeline.sequences(spark, sf_dir).groupBy(F.array_join("phones", " ").alias("name")).agg(F.count("*").alias("n"))
-    return _ranked(counts)
+    return rank_frequency(counts)
 
 
 def zipf_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:

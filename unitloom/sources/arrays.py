@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,10 @@ def files(spark: SparkSession, root: str, extension: str = ".npy") -> DataFrame:
 
 
 def key_of(path: Column, root: str, extension: str) -> Column:
-    """The path below the root, without its extension."""
+    """The path below the root, without its extension. Of a root with wildcards, the part before the first of them counts
+    as the root, so the names that it stands for (the datasets) are part of the key."""
+    fixed = re.split(r"[*?\[{]", root)[0]
+    root = root if fixed == root else fixed[: fixed.rindex("/") + 1]
     below = root.split("://", 1)[-1].rstrip("/") + "/"
     short = F.substring_index(path, below, -1)
     return F.substring(short, F.lit(1), F.length(short) - len(extension))

@@ -7,7 +7,6 @@ and measured, so a later stage reads one folder.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,8 +17,10 @@ from unitloom.functions.encoding import encoded
 from unitloom.functions.scalars import FRAME_RATE, cleaned, frame_to_sample, method_label, overlaps
 from unitloom.operators import agreement, boundaries, intervals, kmeans, leiden, runs, vectors
 from unitloom.operators.infer import Preparation, infer
+from unitloom.operators.ranking import rank_frequency
 from unitloom.sources import arrays, tables, textgrid
 from unitloom.storage import materialize
+from unitloom.track import Usage, tracked
 
 BIN = 64
 
@@ -142,44 +143,47 @@ def _finish(spark: SparkSession, config: TrainConfig, name: str, rows: DataFrame
     return out
 
 
-def _name(spark: SparkSession, kind: str, k: int | None, tau: float | None, gamma: float | None, clusters: int, seconds: float) -> str:
-    row = spark.createDataFrame([(kind, k, tau, gamma, clusters, round(seconds, 2), 0.0)], "a string, k int, tau double, gamma double, n long, s double, m double")
+def _name(spark: SparkSession, kind: str, k: int | None, tau: float | None, gamma: float | None, clusters: int, usage: Usage) -> str:
+    row = spark.createDataFrame([(kind, k, tau, gamma, clusters, round(usage.seconds, 2), round(usage.peak_mb, 1))], "a string, k int, tau double, gamma double, n long, s double, m double")
     return row.select(runs.run_name(*[F.col(c) for c in row.columns])).first()[0]
 
 
-def train_graph(spark: SparkSession, config: TrainConfig) -> str:
-    rows, began = _prepared(spark, config), time.perf_counter()
-    if not config.subsample:
-        checked_segments(spark, rows, config.segments_dir)
-    e, c = config.edges, config.cluster
-    if e.num_neighbors is None:
-        edges = vectors.cosine_edges(rows, "row_id", "vec", e.min_sim)
-    else:
-        edges = vectors.knn_edges(rows, "row_id", "vec", e.num_neighbors, e.min_sim)
-    edges, ids = materialize(edges, "edges"), rows.select(F.col("row_id").alias("id"))
+def _graph_communities(ids: DataFrame, edges: DataFrame, c: ClusterConfig) -> tuple[DataFrame, float]:
     if c.cluster_count_target is None:
         if c.resolution_specified is None:
             raise ValueError("give a resolution, a number of clusters, or both")
-        member, gamma = leiden.communities(ids, edges, c.resolution_specified, c.leiden_iterations, c.seed), c.resolution_specified
-    else:
-        low, high = c.resolution_init_low, c.resolution_init_high
-        if c.resolution_specified is not None:
-            low, high = max(0.0, c.resolution_specified - 0.1), c.resolution_specified + 0.1
-        search = leiden.ResolutionSearch(ids, edges, c.cluster_count_target, c.cluster_count_tolerance, low, high, c.search_max_iterations, c.search_worker_count, c.seed)
-        found = search.run()
-        member, gamma = found.state, found.point
-    member = materialize(member, "membership")
-    n, seconds = member.select("cluster").distinct().count(), time.perf_counter() - began
-    name = _name(spark, "graph", e.num_neighbors, e.min_sim, gamma, n, seconds)
-    return _finish(spark, config, name, rows, member, {"clustering": "graph", "resolution": float(gamma), "clusters": n, "seconds": seconds})
+        return leiden.communities(ids, edges, c.resolution_specified, c.leiden_iterations, c.seed), c.resolution_specified
+    low, high = c.resolution_init_low, c.resolution_init_high
+    if c.resolution_specified is not None:
+        low, high = max(0.0, c.resolution_specified - 0.1), c.resolution_specified + 0.1
+    found = leiden.ResolutionSearch(ids, edges, c.cluster_count_target, c.cluster_count_tolerance, low, high, c.search_max_iterations, c.search_worker_count, c.seed).run()
+    return found.state, found.point
+
+
+def train_graph(spark: SparkSession, config: TrainConfig) -> str:
+    rows, e = _prepared(spark, config), config.edges
+    if not config.subsample:
+        checked_segments(spark, rows, config.segments_dir)
+    with tracked() as usage:
+        if e.num_neighbors is None:
+            edges = vectors.cosine_edges(rows, "row_id", "vec", e.min_sim)
+        else:
+            edges = vectors.knn_edges(rows, "row_id", "vec", e.num_neighbors, e.min_sim)
+        member, gamma = _graph_communities(rows.select(F.col("row_id").alias("id")), materialize(edges, "edges"), config.cluster)
+        member = materialize(member, "membership")
+        n = member.select("cluster").distinct().count()
+    name = _name(spark, "graph", e.num_neighbors, e.min_sim, gamma, n, usage)
+    return _finish(spark, config, name, rows, member, {"clustering": "graph", "resolution": float(gamma), "clusters": n, "seconds": usage.seconds, "peak_mb": usage.peak_mb})
 
 
 def train_kmeans(spark: SparkSession, config: TrainConfig) -> str:
-    rows, began = _prepared(spark, config), time.perf_counter()
-    centroids, costs = kmeans.train(rows, "row_id", "vec", config.num_clusters, seed=config.cluster.seed)
-    member = materialize(kmeans.clusters(rows.withColumnRenamed("row_id", "id"), "vec", centroids).select("id", "cluster"), "membership")
-    n, seconds = member.select("cluster").distinct().count(), time.perf_counter() - began
-    out = _finish(spark, config, _name(spark, "kmeans++", None, None, None, n, seconds), rows, member, {"clustering": "kmeans++", "num_clusters": config.num_clusters, "clusters": n, "seconds": seconds, "cost": costs[-1]})
+    rows = _prepared(spark, config)
+    with tracked() as usage:
+        centroids, costs = kmeans.train(rows, "row_id", "vec", config.num_clusters, seed=config.cluster.seed)
+        member = materialize(kmeans.clusters(rows.withColumnRenamed("row_id", "id"), "vec", centroids).select("id", "cluster"), "membership")
+        n = member.select("cluster").distinct().count()
+    record = {"clustering": "kmeans++", "num_clusters": config.num_clusters, "clusters": n, "seconds": usage.seconds, "peak_mb": usage.peak_mb, "cost": costs[-1]}
+    out = _finish(spark, config, _name(spark, "kmeans++", None, None, None, n, usage), rows, member, record)
     tables.write_matrix(spark, centroids, f"{out}/centroids")
     return out
 
@@ -259,12 +263,12 @@ def report(spark: SparkSession, eval_path: str, top_n: int = 10) -> DataFrame:
 
 def zipf(spark: SparkSession, segments_dir: str, textgrid_dir: str, run_name: str) -> DataFrame:
     """Rank-frequency rows of the clusters and of one to three tokens in a row: (method, name, n, rank, probability)."""
-    from unitloom.plans.sequence_queries import _ranked, ngram_counts
+    from unitloom.plans.sequence_queries import ngram_counts
 
     own, labels = labelled_sequences(spark, segments_dir, textgrid_dir)
     clusters = own.groupBy(F.col("cluster").cast("string").alias("name")).agg(F.count("*").alias("n")).withColumn("method", method_label(F.lit(run_name)))
     grams = ngram_counts(labels).select(F.col("gram").alias("name"), "n", F.concat(F.lit("phones "), F.col("order").cast("string")).alias("method"))
-    return _ranked(clusters.unionByName(grams), "method")
+    return rank_frequency(clusters.unionByName(grams), "method")
 
 
 def examples(spark: SparkSession, segments_dir: str, top_k: int = 5, examples_per_cluster: int = 100, sample_rate: int = 16_000) -> DataFrame:

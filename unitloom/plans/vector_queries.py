@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from unitloom.functions import scalars
 from unitloom.operators import graph, infer, kmeans, leiden, vectors
+from unitloom.operators.intervals import with_row_ids
 from unitloom.storage import checkpoint_root, materialize, read_table
 from unitloom.streaming.labels import label_stream
 
@@ -18,11 +19,6 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("label"))
 
 
-def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = _vectors(spark, sf_dir)
-    return v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0")
-
-
 def _long(rows: DataFrame, ident: str, vec: str) -> DataFrame:
     return rows.select(ident, F.posexplode(vec).alias("dim", "x")).select(ident, "dim", F.round("x", 6).alias("x"))
 
@@ -134,9 +130,10 @@ def kmeans_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, r = _split(spark, sf_dir)
-    near = vectors.nearest(q, r, "vec_id", "vec", K)
-    return near.join(r.select(F.col("vec_id").alias("other"), "label"), "other").select("id", "other", F.col("rn").cast("long").alias("rn"), F.round("sim", 9).alias("sim"), "label")
+    """Every vector against all others: the labels of its nearest ones (a vector is never its own reference)."""
+    v = _vectors(spark, sf_dir)
+    near = vectors.nearest(v, v, "vec_id", "vec", K)
+    return near.join(v.select(F.col("vec_id").alias("other"), "label"), "other").select("id", "other", F.col("rn").cast("long").alias("rn"), F.round("sim", 9).alias("sim"), "label")
 
 
 def _vote(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -173,12 +170,10 @@ def subsample(rows: DataFrame, ident: str, fraction: float, seed: int = 42, meth
 
 
 def apply_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with the label of their row_id, for a membership that covers every fifth row; its labels are all used."""
+    """Rows with the label of their row_id, where the membership has one."""
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    from unitloom.operators.intervals import with_row_ids
-
     numbered = with_row_ids(rows.withColumn("file", F.format_string("%012d", "conv_id")), "file", "turn")
-    member = read_table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("row_id"), F.col("label").cast("long").alias("unit_id"))
+    member = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").cast("long").alias("unit_id"))
     return numbered.join(member, "row_id").select("row_id", "conv_id", "turn", "unit_id")
 
 
@@ -188,12 +183,12 @@ def rms_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_infer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels of majority_vote_k3, computed by the incremental form."""
-    q, r = _split(spark, sf_dir)
-    root = materialize(q, "queries")
+    v = _vectors(spark, sf_dir)
+    root = materialize(v, "queries")
     folder = root.inputFiles()[0].rsplit("/", 1)[0]
     base = f"{checkpoint_root(spark)}/unitloom/stream-{folder.rsplit('-', 1)[-1]}"
-    label = infer.infer("graph_knn", references=r, ident="vec_id", vec="vec", label="label", k=3)
-    label_stream(spark, folder, q.schema, label, f"{base}/out", f"{base}/checkpoint", files_per_batch=1).awaitTermination()
+    label = infer.infer("graph_knn", references=v, ident="vec_id", vec="vec", label="label", k=3)
+    label_stream(spark, folder, v.schema, label, f"{base}/out", f"{base}/checkpoint", files_per_batch=1).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("id", "label")
 
 
@@ -206,7 +201,7 @@ _V = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddin
 _X = "x AS (SELECT vec_id, label, CAST(unnest(range(len(e))) AS INTEGER) AS dim, unnest(e) AS x FROM v)"
 _E = f"ed AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.e, b.e) AS weight FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {TAU})"
 _NEAR = f"""
-s AS (SELECT q.vec_id AS id, r.vec_id AS other, r.label AS label, list_cosine_similarity(q.e, r.e) AS sim FROM v q JOIN v r ON q.vec_id % 5 = 0 AND r.vec_id % 5 <> 0),
+s AS (SELECT q.vec_id AS id, r.vec_id AS other, r.label AS label, list_cosine_similarity(q.e, r.e) AS sim FROM v q JOIN v r ON q.vec_id <> r.vec_id),
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rn FROM s) WHERE rn <= {K})
 """
 _C = """
@@ -241,5 +236,5 @@ SELECT least(id, other) AS src, greatest(id, other) AS dst, round(max(sim), 9) A
     "majority_vote_k3": _voted(3, "first"),
     "majority_vote_k10": _voted(10, "label"),
     "subsample_semi": "SELECT vec_id, CAST(label AS BIGINT) AS label FROM (SELECT *, row_number() OVER (ORDER BY md5('42/' || vec_id), vec_id) AS r FROM embeddings) WHERE r <= CAST(floor(0.3 * (SELECT count(*) FROM embeddings)) AS BIGINT)",
-    "apply_membership": "WITH c AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_id FROM conversations) SELECT row_id, conv_id, turn, CAST(label AS BIGINT) AS unit_id FROM c JOIN embeddings ON vec_id = row_id WHERE vec_id % 5 = 0",
+    "apply_membership": "WITH c AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_id FROM conversations) SELECT row_id, conv_id, turn, CAST(label AS BIGINT) AS unit_id FROM c JOIN embeddings ON vec_id = row_id",
 }

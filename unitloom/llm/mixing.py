@@ -33,14 +33,15 @@ def tokens(text: F.Column) -> F.Column:
 
 
 def topic(text: F.Column) -> F.Column:
-    n = F.length(text)
-    share = lambda signs: (n - F.length(F.translate(text, signs, ""))) / n
+    n = F.octet_length(text)
+    share = lambda signs: F.regexp_count(text, F.lit(f"[{signs}]")) / n
+    count = lambda sign: n - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
     return (
         F.when(n.isNull() | (n < 200), "short")
-        .when(share("|") > 0.02, "table")
+        .when(count("|") / n > 0.02, "table")
         .when(share("#$%&*") > 0.1, "symbols")
-        .when(F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")) < 0.7 * n, "shouted")
-        .when(share("\n") > 0.03, "list")
+        .when(share("A-Z") > 0.3, "shouted")
+        .when(count("\n") / n > 0.03, "list")
         .otherwise("prose")
     )
 

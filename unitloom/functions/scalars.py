@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: frames a second.
 FRAME_RATE = 50
 #: Tokens that stand for silence or noise, compared in lower case.
 SILENCES = ("sil", "spn", "sp", "<unk>", "")
@@ -61,6 +62,7 @@ def normalized_distance(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 0.0).otherwise(F.levenshtein(a, b) / longer)
 
 
+# The names and colours of methods; the two look for parts of a name in different orders.
 def method_label(name: Column) -> Column:
     n = F.lower(name)
     return F.when(n.contains("kmeans"), "K-means").when(n.contains("full"), "Full Graph").when(n.contains("knn"), "kNN Graph").otherwise("Induced clusters")

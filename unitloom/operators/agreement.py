@@ -6,7 +6,7 @@ Input is (cluster, code): a row a segment with a non-empty sequence, code being
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitloom.functions.scalars import f1, normalized_distance
@@ -19,10 +19,8 @@ def counted(labels: DataFrame) -> DataFrame:
 
 def pacc(counts: DataFrame) -> DataFrame:
     """One row: 1 - mean distance to the cluster's modal sequence by its length; of tied modes the longest with the least total."""
-    w = Window.partitionBy("cluster").orderBy(F.desc("n"))
-    modes = counts.withColumn("r", F.rank().over(w)).where("r = 1")
-    longest = Window.partitionBy("cluster").orderBy(F.desc(F.length("code")))
-    modes = modes.withColumn("r", F.rank().over(longest)).where("r = 1").select(F.col("cluster").alias("c"), F.col("code").alias("mode"))
+    top = counts.groupBy("cluster").agg(F.max(F.struct("n", F.length("code").alias("size"))).alias("top"))  # commonest, then longest
+    modes = counts.join(top, "cluster").where((F.col("n") == F.col("top.n")) & (F.length("code") == F.col("top.size"))).select(F.col("cluster").alias("c"), F.col("code").alias("mode"))
     total = counts.join(modes, F.col("cluster") == F.col("c")).groupBy("cluster", "mode").agg((F.sum(F.levenshtein("code", "mode") * F.col("n")) / F.length("mode")).alias("d"), F.sum("n").alias("n"))
     best = total.groupBy("cluster").agg(F.min("d").alias("d"), F.max("n").alias("n"))
     return best.agg((1 - F.coalesce(F.sum("d") / F.sum("n"), F.lit(0.0))).alias("pacc"))

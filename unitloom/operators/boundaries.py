@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from unitloom.functions.scalars import over_segmentation, precision_recall_f1, r_value
 from unitloom.operators.intervals import islands
 
-TOLERANCE = 5  # ticks
+#: Fixed value: ticks (0.05 s).
+TOLERANCE = 5
 
 
 def speech_islands(gold: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitloom.storage import materialize
-
 
 def bounds_from_durations(rows: DataFrame, key: str, order: str, duration: str) -> DataFrame:
     """rows with start and end: running sums of the durations within each key."""
@@ -77,7 +75,3 @@ def paired_strictly(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     both = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), key, "full_outer")
     checked = F.assert_true(F.col("__l").isNotNull() & F.col("__r").isNotNull(), "a key has no counterpart")
     return both.where(checked.isNull()).drop("__l", "__r")
-
-
-def checkpointed(rows: DataFrame) -> DataFrame:
-    return materialize(rows, "stage")

@@ -259,6 +259,12 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted toxic. A doc_id goes if one of its rows does; rows without a doc_id stay."""
-    bad = scored(docs, learn(docs, labels)).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """The rows of docs whose text is not predicted toxic. Rows are judged where they are read, so nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            yield b.filter(pa.array([model.score(t.as_py() or "") < THRESHOLD for t in b.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

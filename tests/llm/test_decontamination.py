@@ -67,8 +67,9 @@ def test_removal(spark, documents):
     clean = " ".join(f"c{i}" for i in range(300))
     docs = [(1, f"{clean} {item}"), (2, clean), (3, " ".join(item.split()[:12])), (4, f"{clean} " * 3 + " ".join(item.split()[2:15])), (5, None), (None, item)]
     made, bench = tables(spark, documents, docs, [(7, item)])
-    assert sorted((r.doc_id for r in decontaminate(made, bench).collect()), key=str) == [2, 3, 4, 5, None]
+    assert sorted((r.doc_id for r in decontaminate(made, bench).collect()), key=str) == [2, 3, 4, 5]
     assert decontaminate(made, bench).columns == made.columns
+    assert sorted((r.doc_id for r in decontaminate(made, bench, 5).collect()), key=str) == [2, 3, 4, 5]
     assert contamination(made, bench).where("doc_id = 1").first().longest_run == 30
 
 

@@ -37,3 +37,13 @@ def test_each_stage_keeps_the_columns_and_stands_an_empty_table(spark):
         found = stage(spark, docs.limit(0), SF)
         assert found.count() == 0
         assert name == "sharding" or found.columns == docs.columns
+
+
+def test_each_stage_stands_odd_rows(spark, documents, edges):
+    docs = documents(edges, clash=True)
+    kept = {"toxicity": 8, "simhash_dedup": 5, "decontamination": 8, "mixing": None, "sharding": 8}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, SF).collect()
+        assert kept[name] is None or len(found) == kept[name], name
+        assert {r.doc_id for r in found} <= {i for i, _ in edges}
+        assert all((r.doc_id, r.text) in edges for r in found)

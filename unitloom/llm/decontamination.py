@@ -232,9 +232,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, chunk_words: int = CHUN
             yield from _batched(rows, _OUT)
 
         return texts.mapInArrow(run, REPORT)
+    told = _merged(texts, chunks)
+    keyed = texts.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit(b"")), 256)).alias("key"))
+    return keyed.join(told, "key").drop("key")
+
+
+def _merged(texts: DataFrame, chunks: list[DataFrame]) -> DataFrame:
+    """The report of each distinct text (key: its SHA-256), searched chunk by chunk."""
     parts = []
     for chunk in chunks:
-        parts.append(materialize(texts.mapInArrow(_partial(spark.sparkContext.broadcast(_index(chunk, True))), "key binary, n_words long, places array<long>, items array<string>, longest long"), "hits"))
+        shared = texts.sparkSession.sparkContext.broadcast(_index(chunk, True))
+        parts.append(materialize(texts.mapInArrow(_partial(shared), "key binary, n_words long, places array<long>, items array<string>, longest long"), "hits"))
     every = parts[0].dropDuplicates(["key"])
     for p in parts[1:]:  # one row of a text from each chunk
         every = every.unionByName(p.dropDuplicates(["key"]))
@@ -247,8 +255,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, chunk_words: int = CHUN
         "key", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "longest_run",
     )
-    keyed = texts.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit(b"")), 256)).alias("key"))
-    return keyed.join(materialize(told, "contamination"), "key").drop("key")
+    return materialize(told, "contamination")
 
 
 def _partial(shared):
@@ -258,7 +265,20 @@ def _partial(shared):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones. A doc_id is removed if any of its rows is contaminated; null ids stay."""
-    bad = contamination(docs, benchmark).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """The rows of docs whose text is not contaminated. With one chunk, rows are judged where they are read; with more, by text."""
+    chunks = _chunks(benchmark, chunk_words)
+    if len(chunks) > 1:
+        key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+        texts = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", key.alias("key")).dropDuplicates(["key"])
+        bad = _merged(texts.select("doc_id", F.col("text").cast("binary").alias("text")), chunks).where("contaminated").select(F.lower(F.hex("key")).alias("__bad"))
+        return docs.join(bad, key == F.col("__bad"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(_index(chunks[0], False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column("text").cast(pa.binary())], ["doc_id", "text"])
+            keep = [not _verdict(n, len(places), items, longest)[4] for _, _, n, places, items, longest in _shards(iter([numbered]), shared.value)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from unitloom.operators.graph import connected_components
 from unitloom.storage import materialize
 
-COSINE, MOST_PIVOTS, PIVOT_SHARE, TILE = 0.95, 64, 4096, 2048
+COSINE, MOST_PIVOTS, PIVOT_SHARE, TILE = 0.95, 64, 4096, 4096
 _MARGIN = 1e-4
 
 
@@ -122,11 +121,12 @@ def _forest(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], root: n
 
 
 def _compare(cosine: float):
-    def run(task: pd.DataFrame) -> pd.DataFrame:
-        task = task.sort_values(["tile", "node"], kind="stable")
-        v = unit(np.array(task.v.tolist(), dtype=np.float64))
-        ids, n, tile = task.node.to_numpy(), task.n.to_numpy(), task.tile.to_numpy()
-        i, j = task.task.iloc[0]["i"], task.task.iloc[0]["j"]
+    def run(task: pa.Table) -> pa.Table:
+        task = task.sort_by([("tile", "ascending"), ("node", "ascending")]).combine_chunks()
+        values = task.column("v").chunk(0)
+        v = unit(_matrix(values, len(values[0])))
+        ids, n, tile = (task.column(c).to_numpy() for c in ("node", "n", "tile"))
+        i, j = (task.column("task")[0][k].as_py() for k in ("i", "j"))
         first = np.flatnonzero(tile == i)
         second = first if i == j else np.flatnonzero(tile == j)
         links, root, edges = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids)), []
@@ -145,8 +145,9 @@ def _compare(cosine: float):
                 np.add.at(links, q, n[p])
                 edges += _forest(ids, [(p, q)], root)
         linked = np.flatnonzero(links)
-        return pd.DataFrame({
-            "a": [int(ids[k]) for k in linked] + [x for x, _ in edges], "b": pd.array([None] * len(linked) + [y for _, y in edges], dtype="Int64"), "n": [int(links[k]) for k in linked] + [0] * len(edges),
+        ends = np.array(edges, dtype=np.int64).reshape(-1, 2)
+        return pa.table({
+            "a": np.concatenate([ids[linked], ends[:, 0]]), "b": pa.array([None] * len(linked) + ends[:, 1].tolist(), pa.int64()), "n": np.concatenate([links[linked], np.zeros(len(ends), dtype=np.int64)]),
         })
 
     return run
@@ -159,7 +160,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     parts = []
     for (dim,) in found.select(F.size("v")).distinct().collect():  # usually one length
         tasks = _tiled(materialize(_cells(found.where(F.size("v") == dim), dim, cosine), "cells"))
-        parts.append(materialize(tasks.groupBy("task").applyInPandas(_compare(cosine), "a long, b long, n long"), "links"))
+        parts.append(materialize(tasks.groupBy("task").applyInArrow(_compare(cosine), "a long, b long, n long"), "links"))
     told = parts[0] if parts else spark.createDataFrame([], "a long, b long, n long")
     for p in parts[1:]:
         told = told.unionByName(p)

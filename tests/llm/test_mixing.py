@@ -90,3 +90,33 @@ def test_edges(documents, edges):
     assert {r.n_tokens for r in found if r.doc_id == 1} == {1}
     assert mixed(documents([])).count() == 0 and sample(documents([])).count() == 0
     assert len({r.kept for r in mixed(documents(rows)).collect() if r.doc_id == 4}) == 1
+
+
+def many_sources(n=300):
+    """One large source and n small ones, which have a document in each of two languages."""
+    rows = [(i, "some words of prose " * 40, "en", "big", 1) for i in range(400)]
+    return rows + [(1000 + 2 * i + k, "some words of prose " * 12, lang, f"s{i}", 1) for i in range(n) for k, lang in enumerate(("en", "de"))]
+
+
+def test_each_of_many_sources_gets_its_own_target(documents):
+    found = mixed(documents(many_sources()), budget=0.2).toPandas()
+    mass = (found.n_tokens * found.probability).groupby(found.source).sum()
+    own = found.groupby("source").n_tokens.sum() / found.n_tokens.sum()
+    goal = own ** mixing.POWERS[0] / (own ** mixing.POWERS[0]).sum()
+    assert np.allclose(mass / mass.sum(), goal, rtol=1e-6)
+
+
+def test_a_given_target_counts_for_any_source(documents):
+    found = mixed(documents(many_sources()), {"source": {"s99": 0.001, "big": 0.999}, "lang": {"en": 1.0}}, budget=0.1).toPandas()
+    mass = (found.n_tokens * found.probability).groupby(found.source).sum()
+    assert mass["s99"] / mass.sum() == pytest.approx(0.001, rel=1e-6)
+
+
+@pytest.mark.parametrize(("targets", "budget"), [(None, 0.2), ({"source": {"big": 0.2, "s1": 0.5, "s2": 0.3}}, 0.1)])
+def test_cells_in_a_table_are_raked_alike(documents, monkeypatch, targets, budget):
+    docs = documents(corpus(80))
+    expected = {r.doc_id: r.probability for r in mixed(docs, targets, budget).collect()}
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 0)
+    monkeypatch.setattr(mixing, "MAX_LANGS", 0)
+    found = {r.doc_id: r.probability for r in mixed(docs, targets, budget).collect()}
+    assert found.keys() == expected.keys() and all(found[i] == pytest.approx(expected[i], rel=1e-6) for i in found)

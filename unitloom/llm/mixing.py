@@ -8,9 +8,9 @@ the seed, so it is the same wherever and however often it is computed.
 
 Documents have no topic of their own, so it is the form of their text: shouted, symbols, table, list, short or prose. A
 document's tokens are estimated as a quarter of its UTF-8 bytes, and one. Targets are share ** power of the table itself,
-made to sum to one, unless given. The cells are bounded: the ``MAX_SOURCES`` sources and ``MAX_LANGS`` languages with the most
-tokens have cells of their own, others share one (they are pooled, not dropped); so the driver gets at most
-(MAX_SOURCES + 1) * (MAX_LANGS + 1) * 6 sums, and the same number of probabilities is broadcast.
+made to sum to one, unless given. Every source and language has cells of its own. Up to as many cells as ``MAX_SOURCES``
+sources and ``MAX_LANGS`` languages with one more of each can make are raked on the driver and broadcast; more of them stay in a
+table, which is raked with sums by margin and joins, each step written, by the same rule.
 
 Defined results: null texts count one token; null sources and languages are values of their own; a null doc_id
 draws as one id; rows that share a doc_id draw alike; an empty table gives no rows.
@@ -22,10 +22,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from unitloom.storage import materialize, release
+
 MAX_SOURCES, MAX_LANGS, BUDGET, SEED, ROUNDS, CLOSE = 256, 64, 0.7, 42, 200, 1e-10
 #: Target share = own share ** power, for source, language and topic.
 POWERS = (0.7, 0.8, 0.9)
-_POOLED, _NULL = "(other)", "(null)"
+_NULL = "(null)"
+_AXES = ("__source", "__lang", "__topic")
 
 
 def tokens(text: F.Column) -> F.Column:
@@ -48,41 +51,106 @@ def topic(text: F.Column) -> F.Column:
 
 def rake(sums: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, budget: float = BUDGET) -> np.ndarray:
     """Keeping probability of each cell of a three-way table of token sums, for target shares of its three margins."""
-    has = sums > 0
+    at = np.nonzero(sums > 0)
     kept = np.zeros_like(sums)
-    full = np.zeros_like(has)  # cells that are kept whole
+    kept[at] = rake_cells(sums[at], at, targets, rounds, budget)
+    return kept
+
+
+def rake_cells(sums: np.ndarray, at: tuple[np.ndarray, ...], targets: list[np.ndarray], rounds: int = ROUNDS, budget: float = BUDGET) -> np.ndarray:
+    """The same for the cells that have tokens only: their sums, and their places on each of the three margins."""
+    margin = lambda k, x: np.bincount(at[k], weights=x, minlength=len(targets[k]))
+    kept = np.zeros(len(sums))
+    full = np.zeros(len(sums), dtype=bool)  # cells that are kept whole
     total = sums.sum()
-    while total > 0 and (open_ := has & ~full).any():
-        goals = [np.maximum(t * budget * total - np.where(full, sums, 0).sum(axis=_others(k)), 0) for k, t in enumerate(targets)]
+    while (open_ := ~full).any():
+        goals = [np.maximum(t * budget * total - margin(k, np.where(full, sums, 0.0)), 0) for k, t in enumerate(targets)]
         fitted = np.where(open_, sums, 0.0)
         for _ in range(rounds):
-            before = fitted.copy()
+            before = fitted
             for k, goal in enumerate(goals):
-                now = fitted.sum(axis=_others(k))
-                factor = np.divide(goal, now, out=np.zeros_like(now), where=now > 0)
-                fitted = fitted * factor.reshape([-1 if i == k else 1 for i in range(3)])
+                now = margin(k, fitted)
+                fitted = fitted * np.divide(goal, now, out=np.zeros_like(now), where=now > 0)[at[k]]
             if np.abs(fitted - before).max() <= CLOSE * total:
                 break
-        wanted = budget * total - np.where(full, sums, 0).sum()
+        wanted = budget * total - sums[full].sum()
         if wanted <= 0 or fitted.sum() <= 0:
             kept = np.where(full, 1.0, 0.0)
             break
-        fitted *= wanted / fitted.sum()
-        kept = np.where(full, 1.0, np.divide(fitted, sums, out=np.zeros_like(sums), where=has))
+        kept = np.where(full, 1.0, fitted * (wanted / fitted.sum()) / sums)
         if not (kept[open_] > 1).any():
             break
-        full |= has & (kept >= 1)
-        kept = np.minimum(kept, 1.0)
+        full |= kept >= 1
     return np.clip(kept, 0.0, 1.0)
 
 
-def _others(k: int) -> tuple[int, ...]:
-    return tuple(i for i in range(3) if i != k)
-
-
-def _largest(docs: DataFrame, column: str, most: int) -> list[str]:
-    found = docs.groupBy(column).agg(F.sum("__tokens").alias("n")).orderBy(F.desc("n"), column).limit(most)
-    return [r[0] for r in found.collect()]
+def _shares(cells: DataFrame, axis: str, power: float, total: float, given: dict[str, float] | None) -> DataFrame:
+    """(axis, share): the target share of each value of a margin."""
+    own = cells.groupBy(axis).agg(F.sum("n").alias("share"))
+    if given:
+        wanted = cells.sparkSession.createDataFrame([(v, float(x)) for v, x in given.items()], f"`{axis}` string, given double")
+        own = own.join(wanted, axis, "left").select(axis, F.coalesce("given", F.lit(0.0)).alias("share"))
+    else:
+        own = own.select(axis, F.pow(F.col("share") / total, F.lit(power)).alias("share"))
+    own = materialize(own, "shares")
+    whole = own.agg(F.sum("share")).first()[0]
+    return own.withColumn("share", F.col("share") / whole) if whole else own
+
+
+def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
+    """``rake_cells`` without the driver: cells (three axes, n) with __keep; each step of a round is a written table."""
+    total = float(cells.agg(F.sum("n")).first()[0])
+    shares = [_shares(cells, a, p, total, (targets or {}).get(a.strip("_"))) for a, p in zip(_AXES, POWERS, strict=True)]
+    now = cells.select(*_AXES, "n", F.lit(False).alias("full"))
+    while True:
+        whole = F.when(F.col("full"), F.col("n")).otherwise(0)
+        goals = [
+            materialize(now.groupBy(a).agg(F.sum(whole).alias("kept")).join(s, a).select(a, F.greatest(F.col("share") * budget * total - F.col("kept"), F.lit(0.0)).alias("goal")), "goals")
+            for a, s in zip(_AXES, shares, strict=True)
+        ]
+        wanted = budget * total - now.agg(F.sum(whole)).first()[0]
+        open_ = F.when(F.col("full"), 0.0).otherwise(F.col("n").cast("double"))
+        fitted = materialize(now.withColumn("w", open_).withColumn("before", F.col("w")), "cells")
+        for _ in range(rounds):
+            fitted = _replace(fitted, fitted.withColumn("before", F.col("w")))
+            for a, goal in zip(_AXES, goals, strict=True):
+                factor = fitted.groupBy(a).agg(F.sum("w").alias("sum")).join(goal, a).select(a, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor"))
+                fitted = _replace(fitted, fitted.join(factor, a).withColumn("w", F.col("w") * F.col("factor")).select(*fitted.columns))
+            if fitted.agg(F.max(F.abs(F.col("w") - F.col("before")))).first()[0] <= CLOSE * total:
+                break
+        mass = fitted.agg(F.sum("w")).first()[0]
+        if wanted <= 0 or mass <= 0:
+            return fitted.select(*_AXES, F.col("full").cast("double").alias("__keep"))
+        kept = materialize(fitted.select(*_AXES, "n", "full", F.when(F.col("full"), 1.0).otherwise(F.col("w") * (wanted / mass) / F.col("n")).alias("__keep")), "kept")
+        release(fitted)
+        over, left = kept.agg(F.coalesce(F.bool_or(~F.col("full") & (F.col("__keep") > 1)), F.lit(False)), F.bool_or(F.col("__keep") < 1)).first()
+        if not over or not left:
+            return kept.select(*_AXES, F.least("__keep", F.lit(1.0)).alias("__keep"))
+        now = kept.select(*_AXES, "n", (F.col("full") | (F.col("__keep") >= 1)).alias("full"))
+
+
+def _replace(old: DataFrame, new: DataFrame) -> DataFrame:
+    written = materialize(new, "cells")
+    release(old)
+    return written
+
+
+def _raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float) -> DataFrame:
+    """cells with __keep, raked on the driver."""
+    rows = cells.collect()
+    values = [sorted({r[a] for r in rows}) for a in _AXES]
+    places = [{v: i for i, v in enumerate(vs)} for vs in values]
+    sums = np.array([r.n for r in rows], dtype=np.float64)
+    at = tuple(np.array([places[k][r[a]] for r in rows], dtype=np.int64) for k, a in enumerate(_AXES))
+    goals = []
+    for k, a in enumerate(_AXES):
+        own = np.bincount(at[k], weights=sums, minlength=len(values[k]))
+        given = (targets or {}).get(a.strip("_"))
+        goal = np.array([given.get(v, 0.0) for v in values[k]]) if given else np.power(own / max(own.sum(), 1), POWERS[k])
+        goals.append(goal / goal.sum() if goal.sum() else goal)
+    keep = rake_cells(sums, at, goals, budget=budget)
+    table = [(*(r[a] for a in _AXES), float(p)) for r, p in zip(rows, keep, strict=True)]
+    return cells.sparkSession.createDataFrame(table, "`__source` string, `__lang` string, `__topic` string, `__keep` double")
 
 
 def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
@@ -91,27 +159,12 @@ def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
         "__tokens": tokens(F.col("text")), "__topic": topic(F.col("text")),
         "__source": F.coalesce("source", F.lit(_NULL)), "__lang": F.coalesce("lang", F.lit(_NULL)),
     })
-    names = {"__source": _largest(known, "__source", MAX_SOURCES), "__lang": _largest(known, "__lang", MAX_LANGS)}
-    for column, own in names.items():
-        known = known.withColumn(column, F.when(F.col(column).isin(own), F.col(column)).otherwise(_POOLED)) if own else known
-    axes = ("__source", "__lang", "__topic")
-    cells = known.groupBy(*axes).agg(F.sum("__tokens").alias("n")).collect()
-    values = [sorted({r[a] for r in cells}) for a in axes]
-    sums = np.zeros([len(v) for v in values])
-    at = [{v: i for i, v in enumerate(vs)} for vs in values]
-    for r in cells:
-        sums[tuple(at[k][r[a]] for k, a in enumerate(axes))] += r.n
-    goals = []
-    for k, a in enumerate(axes):
-        own = sums.sum(axis=_others(k))
-        given = (targets or {}).get(a.strip("_"))
-        goal = np.array([given.get(v, 0.0) for v in values[k]]) if given else np.power(own / max(own.sum(), 1), POWERS[k])
-        goals.append(goal / goal.sum() if goal.sum() else goal)
-    keep = rake(sums, goals, budget=budget)
-    table = [(r[axes[0]], r[axes[1]], r[axes[2]], float(keep[tuple(at[k][r[a]] for k, a in enumerate(axes))])) for r in cells]
-    chances = docs.sparkSession.createDataFrame(table, "`__s` string, `__l` string, `__t` string, `__keep` double")
+    cells = materialize(known.groupBy(*_AXES).agg(F.sum("__tokens").alias("n")), "mixing")
+    few = cells.count() <= (MAX_SOURCES + 1) * (MAX_LANGS + 1) * 6
+    chances = F.broadcast(_raked(cells, targets, budget)) if few else rake_table(cells, targets, budget=budget)
+    chances = chances.withColumnsRenamed({"__source": "__s", "__lang": "__l", "__topic": "__t"})
     same = (F.col("__s") == F.col("__source")) & (F.col("__l") == F.col("__lang")) & (F.col("__t") == F.col("__topic"))
-    return known.join(F.broadcast(chances), same).drop("__s", "__l", "__t")
+    return known.join(chances, same).drop("__s", "__l", "__t")
 
 
 def draw(seed: int = SEED) -> F.Column:
@@ -126,5 +179,5 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """The rows of docs that are drawn, with their own columns. Nothing is shuffled but the cells' sums."""
+    """The rows of docs that are drawn, with their own columns. Nothing is shuffled but the cells' sums, as far as the driver rakes them."""
     return probabilities(docs, targets, budget).where(draw() < F.col("__keep")).select(*docs.columns)

@@ -78,6 +78,23 @@ def test_kmeans_finds_blobs_and_cost_falls(spark, blobs):
     assert same_parts(arr(found, "cluster").tolist(), arr(found, "label").tolist())
 
 
+def test_kmeans_starts_in_a_cluster_that_is_rare(spark):
+    ids = spark.range(40_000).withColumnRenamed("id", "vec_id").withColumn("h", F.xxhash64("vec_id", F.lit(42)))
+    last = [r.vec_id for r in ids.orderBy(F.desc("h")).limit(4).collect()]  # of the largest hashes
+    x = F.when(F.col("vec_id").isin(last), 1000.0).otherwise(F.rand(1))
+    start = kmeans.initial(ids.select("vec_id", F.array(x, F.rand(2)).alias("vec")), "vec_id", "vec", 3)
+    assert start.shape == (3, 2) and start[:, 0].max() == 1000
+
+
+@pytest.mark.parametrize(("n", "kinds", "k"), [(30, 30, 30), (30, 3, 5), (30, 1, 2)])
+def test_kmeans_starts_with_as_many_as_there_are(spark, n, kinds, k):
+    v = spark.createDataFrame([(i, [float(i % kinds), 1.0]) for i in range(n)], "vec_id long, vec array<double>")
+    start = kmeans.initial(v, "vec_id", "vec", k)
+    assert len(start) == k and len(np.unique(start, axis=0)) == min(k, kinds)
+    with pytest.raises(ValueError):
+        kmeans.initial(v, "vec_id", "vec", n + 1)
+
+
 def test_leiden_finds_blobs(spark, blobs):
     edges = vectors.cosine_edges(blobs, "vec_id", "vec", 0.3)
     bridge = spark.createDataFrame([(0, 1, 0.31)], "src long, dst long, weight double")  # joins two blobs in one component

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from unitloom.operators import graph, infer, kmeans, leiden, runs, vectors
 from unitloom.operators.ranking import rank_frequency
+from unitloom.plans import vector_queries
 from unitloom.plans.vector_queries import subsample
 from unitloom.sources import arrays, tables, textgrid
 from unitloom.streaming.labels import label_stream
@@ -147,6 +148,22 @@ def test_search():
         Line(5, 1, 0.96, 1.0).run()
 
 
+def test_search_says_when_it_does_not_settle(caplog):
+    Line(37, 0.5, 0.0, 1.0).run()
+    assert not caplog.records
+    Line(37.123, 1e-9, 0.0, 1.0, rounds=2).run()
+    assert "did not settle" in caplog.text
+
+
+def test_resolution_search_query_runs_in_full(spark, blobs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(vector_queries, "_vectors", lambda *_: blobs)
+    monkeypatch.setattr(vector_queries, "_edges", lambda *_: vectors.cosine_edges(blobs, "vec_id", "vec", 0.3))
+    monkeypatch.setattr(leiden.ResolutionSearch, "run", lambda self: seen.append((self.rounds, self.points)) or leiden.Found(0.5, 4, 0, None))
+    assert vector_queries.resolution_search(spark, "").collect()[0].clusters == 4
+    assert seen == [(15, 4)]
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(100, 101)], [(5, 3), (3, 5), (None, 4)]])
 @pytest.mark.parametrize("small", [0, 100_000])
 def test_components(spark, monkeypatch, edges, small):

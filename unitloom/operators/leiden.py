@@ -7,6 +7,7 @@ needs no task. One component is as large as a task can hold; there is no distrib
 
 from __future__ import annotations
 
+import logging
 from abc import ABC, abstractmethod
 from collections import defaultdict
 from collections.abc import Callable
@@ -182,6 +183,7 @@ class Search(ABC):
             below = max((p for p, _, v in known if v < self.target), default=low)
             above = min((p for p, _, v in known if v >= self.target), default=high)
             low, high = (below, above) if below < above else (max(self.low, best.point - gap), min(self.high, best.point + gap))
+        logging.getLogger(__name__).warning("the search did not settle in %d rounds: %s is %s off the target, tolerance %s", self.rounds, best.point, best.difference, self.tolerance)
         return best
 
 

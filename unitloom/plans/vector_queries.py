@@ -96,7 +96,7 @@ def leiden_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolution_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"))
-    search = leiden.ResolutionSearch(v, _edges(spark, sf_dir, TAU_SPARSE), target=int(0.93 * v.count()), tolerance=5, rounds=4, points=3)
+    search = leiden.ResolutionSearch(v, _edges(spark, sf_dir, TAU_SPARSE), target=int(0.93 * v.count()), tolerance=5)
     found = search.run()
     return spark.createDataFrame([(found.point, int(found.value), int(found.difference))], "resolution double, clusters long, difference long")
 

@@ -1,11 +1,11 @@
-"""Line dedup by winnowing over line hashes, with DataFrame functions only.
+"""Line dedup by hashes of full windows of lines, with DataFrame functions only.
 
 A document's non-blank lines (trimmed of spaces) are hashed. A window is the shortest run of lines from a line on, or back from
-a line, that has ``LEAST_WORDS`` words; its fingerprint is the smallest line hash in it, with the hash of its lines. Any two
-runs of equal lines with that many words share a window, so they share a fingerprint: windows are a guaranteed sample. Occurrences
-of a fingerprint are joined to its first one in (doc_id, text, place) order, and all later ones are matches. A match
-extends both ways through the windows that overlap it: a run's windows, forward and backward, cover each of its lines. The lines of
-the later matches are deleted; shorter repeats, such as a common one-line footer, stay.
+a line, that has ``LEAST_WORDS`` words; its key is the hash of all its lines, with their number and the smallest line hash in it (which
+only makes chance collisions rarer). Every window is written and joined: this is not winnowing, nothing is selected. Any two
+runs of equal lines with that many words share a window, so they share a key. Occurrences of a key are joined to its first one
+in (doc_id, text, place) order, and all later ones are matches. There is no extension step: a run's windows, forward and backward,
+cover each of its lines, and the union of the later matches is deleted; shorter repeats, such as a common one-line footer, stay.
 
 Each occurrence meets the first one only, never every other. Firsts are found with partial aggregates and written as a table,
 so a passage that a third of all documents hold is a plain join that can be split. Windows are computed within one document.

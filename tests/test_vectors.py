@@ -165,9 +165,7 @@ def test_resolution_search_query_runs_in_full(spark, blobs, monkeypatch):
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(100, 101)], [(5, 3), (3, 5), (None, 4)]])
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_components(spark, monkeypatch, edges, small):
-    monkeypatch.setattr(graph, "SMALL", small)
+def test_components(spark, edges):
     found = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     root = {v: v for e in edges if None not in e and e[0] != e[1] for v in e}
     for _ in root:
@@ -177,6 +175,15 @@ def test_components(spark, monkeypatch, edges, small):
     assert found == root
 
 
+@pytest.mark.parametrize("n", [300, 100_001])
+def test_components_have_the_type_of_the_ends_at_every_size(spark, n):
+    near = spark.range(n).select((F.col("id") * 2).alias("src"), (F.col("id") * 2 + 1).alias("dst"))
+    for kind in ("int", "long", "string"):
+        found = graph.connected_components(near.select(F.col("src").cast(kind), F.col("dst").cast(kind)))
+        assert [t for _, t in found.dtypes] == ["bigint" if kind == "long" else kind] * 2
+        assert found.agg(F.count("*"), F.countDistinct("component")).first()[:] == (2 * n, n)
+
+
 def test_subsample(spark, blobs):
     for method in ("hash", "numpy"):
         assert subsample(blobs, "vec_id", 0.301, method=method).count() == 60

@@ -2,55 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitloom.storage import materialize, release
 
-#: Graphs of at most so many edges are solved in one task; larger ones in rounds.
-SMALL = 100_000
-
-
-def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component) of all the edges of a small graph."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        top = x
-        while root[top] != top:
-            top = root[top]
-        while root[x] != top:
-            root[x], x = top, root[x]
-        return top
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            a, c = find(root.setdefault(u, u)), find(root.setdefault(v, v))
-            root[max(a, c)] = min(a, c)
-    nodes = np.fromiter(root, dtype=np.int64, count=len(root))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.array([find(x) for x in nodes.tolist()], dtype=np.int64))], ["node", "component"])
-
-
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge to another one; component = smallest node reachable.
 
-    A graph of at most ``SMALL`` edges is solved in one task, after a count. Beyond that, alternating large-star and small-star
-    rounds: each hangs every neighbour of a node on the smallest node it knows, until the edges form stars. Rounds grow with the logarithm of the longest path. No adjacency
-    list is collected: minima are partial aggregates, written as a table before they are joined back, so
-    both join sides are plain exchanges and a hub's rows can be split by the adaptive skew join.
-    Self loops, repeated edges and rows with a null end are ignored.
+    Both columns have the type of the ends, which may be any that can be ordered; graphs of every size go the same way.
+    Alternating large-star and small-star rounds: each hangs every neighbour of a node on the smallest node it knows, until
+    the edges form stars. Rounds grow with the logarithm of the longest path. No adjacency list is collected: minima are
+    partial aggregates, written as a table before they are joined back, so both join sides are plain exchanges and a
+    hub's rows can be split by the adaptive skew join. Self loops, repeated edges and rows with a null end are ignored.
     """
     u, v = F.col(src), F.col(dst)
     e = materialize(
         edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges"
     )
     seen = _digest(e)
-    if 0 < seen[0] <= SMALL:
-        return e.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_solved, "node long, component long")
     for _ in range(max_rounds):
         if seen[0] == 0:
             break

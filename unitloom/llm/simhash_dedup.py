@@ -5,14 +5,16 @@ fewer, some segment has no error, and the segment after it has two errors at mos
 Golay codeword (see `golay.nearby_indices`). So each fingerprint gets, for each segment, keys of that exact
 segment with each nearby codeword index of the next: about 16 keys, and every linked pair meets under one of them.
 
-Only distinct fingerprints are keyed. In a bucket of at most ``SMALL_BUCKET`` fingerprints all are compared. A
-larger bucket (variants of one text) goes an exact way whose cost is linear: two fingerprints differ in two bits or
-fewer exactly if they share a word within one bit of both, so each fingerprint is filed under its 65 words and
-linked to the smallest fingerprint filed there. Nothing is capped or dropped.
-
-Defined results: null and empty texts have fingerprint zero; rows that share a doc_id are one document, so
-they link; a null doc_id gets its fingerprint, but no component unless a numbered row has the same fingerprint's
-group. Repeated rows give repeated result rows. Other columns of the input are ignored.
+Only distinct fingerprints are keyed, and a fingerprint is its own node in the graph of links, so rows without a doc_id
+take part like all others. In a bucket of at most ``SMALL_BUCKET`` fingerprints all are compared. A larger bucket
+(variants of one text) goes an exact way whose cost is linear: two fingerprints differ in two bits or fewer exactly if they
+share a word within one bit of both, so each fingerprint is filed under its 65 words and linked to the smallest
+fingerprint filed there. Both ways find the same groups; nothing is capped or dropped.
+
+Defined results: null, empty and blank texts have fingerprint zero, and texts of any length are hashed whole; rows that
+share a doc_id are one document, so their fingerprints link; a row without a doc_id gets the component_id of its group, null
+if no row there has one. Repeated rows give repeated result rows, an empty table none. Other columns are ignored, except
+that `keep_one` returns them and tells rows apart by them.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitloom.llm.golay import nearby_indices
@@ -54,64 +56,77 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(((ones * 2 > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the signed 64-bit fingerprint."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, row: tuple[Column, Column] | None = None) -> DataFrame:
+    """(doc_id, fp) and, if ``row`` is given, (r1, r2), two hashes of the row: fp is the signed 64-bit fingerprint."""
+    own = ["doc_id", *(["r1", "r2"] if row else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in b.column("text")), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(fps.view(np.int64))], [*own, "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    hashes = [c.alias(name) for c, name in zip(row or (), own[1:], strict=True)]
+    schema = ", ".join(f"{c} long" for c in [*own, "fp"])
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), *hashes).mapInArrow(run, schema)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, fp) for each key of each fingerprint."""
+    """(key, fp) for each key of each fingerprint."""
     for whole in batches:
         for at in range(0, whole.num_rows, _CHUNK):
-            b = whole.slice(at, _CHUNK)
-            node, fp = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            fp = whole.column(0).slice(at, _CHUNK).to_numpy(zero_copy_only=False)
             words = [(fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1) for low, width in SEGMENTS]
             for k in range(3):
                 index, fresh = nearby_indices(words[(k + 1) % 3])
                 row, col = np.nonzero(fresh)
                 key = (np.int64(k) << 40) | (words[k][row] << 12) | index[row, col]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row]), pa.array(fp[row])], ["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(src, dst) edges whose components are those of all links; classes: (node, fp), one row a fingerprint."""
-    keys = materialize(classes.select("node", "fp").mapInArrow(_keys, "key long, node long, fp long"), "golay-keys")
+def links(fps: DataFrame) -> DataFrame:
+    """(src, dst) edges whose components are those of all links; fps: (fp), one row a fingerprint."""
+    keys = materialize(fps.select("fp").mapInArrow(_keys, "key long, fp long"), "golay-keys")
     sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "golay-sizes")
     small = keys.join(sizes.where(F.col("n") <= SMALL_BUCKET).select("key"), "key")
-    a, b = small.select("key", F.col("node").alias("src"), F.col("fp").alias("fa")), small.select("key", F.col("node").alias("dst"), F.col("fp").alias("fb"))
-    close = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS
+    a, b = small.select("key", F.col("fp").alias("src")), small.select("key", F.col("fp").alias("dst"))
+    close = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("src") < F.col("dst")) & close).select("src", "dst")
-    large = keys.join(sizes.where(F.col("n") > SMALL_BUCKET).select("key"), "key", "left_semi").select("node", "fp").distinct()
+    large = keys.join(sizes.where(F.col("n") > SMALL_BUCKET).select("key"), "key", "left_semi").select("fp").distinct()
     around = F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
-    filed = large.select("node", around.alias("word"))
-    hubs = filed.groupBy("word").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = filed.join(hubs, "word").where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst"))
+    filed = large.select("fp", around.alias("word"))
+    hubs = filed.groupBy("word").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = filed.join(hubs, "word").where("fp <> hub").select(F.col("hub").alias("src"), F.col("fp").alias("dst"))
     return pairs.unionByName(stars).distinct()
 
 
+def _grouped(fps: DataFrame) -> DataFrame:
+    """(fp, root): the group of each fingerprint of the written table fps, named by its smallest fingerprint."""
+    classes = materialize(fps.select("fp").distinct(), "classes")
+    # the fingerprints of a document given in several texts are linked by its id
+    several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("src"), F.max("fp").alias("b")).where("src <> b").drop("b")
+    own = fps.join(several, "doc_id").select("src", F.col("fp").alias("dst")).distinct()
+    parts = connected_components(links(classes).unionByName(own))
+    return materialize(classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root")), "groups")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of docs."""
     fps = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    # a document given in several texts is one node: its fingerprints' classes are linked by its id
-    several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
-    own = fps.join(several, "doc_id", "left_semi").join(classes, "fp").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
-    parts = connected_components(links(classes.where("node is not null")).unionByName(own))
-    named = materialize(
-        classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "named"
-    )
+    groups = _grouped(fps).join(fps.groupBy(F.col("fp").alias("f")).agg(F.min("doc_id").alias("least")), F.col("fp") == F.col("f"))
+    first = groups.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    named = materialize(groups.join(first, F.col("root") == F.col("r")).select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id. Rows without a doc_id stay."""
-    found = near_duplicates(docs)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    numbered = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return numbered.unionByName(docs.where("doc_id is null"))
+    """docs with one row of each group: the smallest doc_id (null last), and of rows that share it the one of smallest hash
+    over all columns, so that runs agree. A group without any doc_id keeps a row too."""
+    columns = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    hashes = (F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns))
+    fps = materialize(fingerprints(docs, row=hashes), "fingerprints")
+    first = fps.groupBy(F.col("fp").alias("f")).agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "r1", "r2")).alias("row"))
+    best = _grouped(fps).join(first, F.col("fp") == F.col("f")).groupBy("root").agg(F.min("row").alias("row"))
+    stay = best.select(F.col("row.r1").alias("__k1"), F.col("row.r2").alias("__k2"))
+    marked = docs.withColumns({"__r1": hashes[0], "__r2": hashes[1]})
+    # the join and the removal of repeated rows share one exchange
+    return marked.join(stay, (F.col("__r1") == F.col("__k1")) & (F.col("__r2") == F.col("__k2")), "left_semi").dropDuplicates(["__r1", "__r2"]).drop("__r1", "__r2")

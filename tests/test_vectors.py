@@ -165,7 +165,9 @@ def test_resolution_search_query_runs_in_full(spark, blobs, monkeypatch):
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(100, 101)], [(5, 3), (3, 5), (None, 4)]])
-def test_components(spark, edges):
+@pytest.mark.parametrize("chunk", [4, 500_000])
+def test_components(spark, monkeypatch, edges, chunk):
+    monkeypatch.setattr(graph, "CHUNK", chunk)
     found = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     root = {v: v for e in edges if None not in e and e[0] != e[1] for v in e}
     for _ in root:

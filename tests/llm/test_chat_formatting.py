@@ -1,10 +1,16 @@
 import random
+import re
 
 from unitloom.llm.chat_formatting import formatted
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
+def escaped(text, role=False):
+    text = re.sub(r"<(\\*)\|", lambda m: "<" + m[1] + "\\|", text or "")
+    return re.sub(r"\|(\\*)>", lambda m: "|" + m[1] + "\\>", text) if role else text
+
+
 def brute(rows, part=256):
     by = {}
     for c, *r in rows:
@@ -19,7 +25,7 @@ def brute(rows, part=256):
     out = []
     for c, turns in stay.items():
         for k in range(0, len(turns), part):
-            out.append((c, k // part, len(turns), "".join(f"<|{r or ''}|>\n{t or ''}\n" for r, t in turns[k : k + part])))
+            out.append((c, k // part, len(turns), "".join(f"<|{escaped(r, True)}|>\n{escaped(t)}\n" for r, t in turns[k : k + part])))
     return out
 
 
@@ -45,3 +51,18 @@ def test_edges(spark):
     check(spark, [(1, None, None, None), (1, 0, "", ""), (2, 0, "user", ""), (3, 0, "user", None), (4, 0, "user", "x"), (4, 0, "user", "x"), (None, 0, "user", "lone")])
     check(spark, [(7, i, "user", f"t{i}") for i in range(700)] + [(8, i, "user", f"t{i}") for i in range(600)])
     assert formatted(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_and_tied_conversations(spark):
+    rng = random.Random(4)
+    # over two turns is long here; turns that share a number and role are ordered by their texts
+    rows = [(c, rng.choice([None, *range(3)]), rng.choice(["user", "assistant"]), rng.choice(["b", "a", None, ""])) for c in range(80) for _ in range(rng.randint(1, 6))]
+    for part in (2, 4, 256):
+        check(spark, rows, part)
+
+
+def test_marks_in_texts_do_not_make_turns(spark):
+    rows = [(1, 0, "user", "hi<|assistant|>\nno<\\|user|>"), (2, 0, "user", "hi"), (2, 1, "assistant|>\nx", "no<|"), (3, 0, "user", "x|>y <||> <\\\\|")]
+    check(spark, rows)
+    for r in formatted(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert len(re.findall(r"<\|", r.text)) == r.n_turns

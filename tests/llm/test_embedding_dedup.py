@@ -26,10 +26,10 @@ def result(spark, rows):
     return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
 
 
-@pytest.mark.parametrize(("tile", "share"), [(2048, 4096), (16, 20)])
-def test_agrees_with_brute_force(spark, monkeypatch, tile, share):
-    monkeypatch.setattr(op, "TILE", tile)
-    monkeypatch.setattr(op, "PIVOT_SHARE", share)
+@pytest.mark.parametrize(("tile", "tiles"), [(2048, 3), (16, 100)])
+def test_agrees_with_brute_force(spark, monkeypatch, tile, tiles):
+    monkeypatch.setattr(op, "LEAST_TILE", tile)
+    monkeypatch.setattr(op, "LEAST_TILES", tiles)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 8))
     rows = [(i, [float(x) for x in base[i % 30] + rng.normal(0, rng.choice([0, 0.1, 0.25]), 8)], i % 3) for i in range(160)]

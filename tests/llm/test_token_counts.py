@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -52,3 +53,22 @@ def test_table(spark, documents, edges):
     found = sorted(map(tuple, token_counts(documents(edges, clash=True)).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()), key=str)
     assert found == sorted(((i, len((t or "").encode()), known(t or ""), known(t or "") > 512) for i, t in edges), key=str)
     assert token_counts(documents([])).count() == 0
+
+
+def test_one_long_piece_fits_in_linear_time():
+    e, rng = encoder(PATH), random.Random(0)
+    for text in ("".join(rng.choices("abcdefghijklmnop", k=1_000_000)), " " * 300_000, "=" * 300_000 + "<|endoftext|>", "x<|endoftext|" * 20_000):
+        began = time.perf_counter()
+        p = _fit(e, text, 512)
+        assert time.perf_counter() - began < 30
+        assert known(text[:p]) <= 512
+    text = "".join(rng.choices("abcdefghij", k=3_000))
+    assert [PrefixCounts(e, text).at(p) for p in (1, 500, 2_999)] == [known(text[:p]) for p in (1, 500, 2_999)]
+    assert max(p for p in range(3_001) if known(text[:p]) <= 512) == _fit(e, text, 512)
+
+
+def test_white_space_before_the_cut():
+    e = encoder(PATH)
+    for text in ("a \u2003 \x1c b", "  \n\n  x", "\x85\xa0 \u3000y", "one   two's  \t'll", "<|endoftext|>  <|endoftext|>\n <|end", "!!<|endoftext|>!!", " 's' d'dd"):
+        table = PrefixCounts(e, text)
+        assert [table.at(p) for p in range(len(text) + 1)] == [known(text[:p]) for p in range(len(text) + 1)], text

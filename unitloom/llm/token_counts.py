@@ -5,20 +5,25 @@ Within a piece the last token of every prefix is found from left to right: it is
 prefix and may follow the last token of the prefix before it, where a pair of tokens may stand together exactly if their
 joined bytes encode to that pair. So one pass stores the exact token count of every prefix of the piece, and the
 counts at piece ends are summed. `PrefixCounts` answers "how many tokens has text[:p]" and "how much fits n tokens"
-from these tables: only the last piece or two before the cut are looked up again, nothing is re-encoded.
+from these tables. A prefix of a piece is a piece itself, so its count is read from the piece's table; white space before the
+cut is a piece of its own, with a table of its own. Contractions and special tokens that are cut are a few
+signs, whose table is made with what they join. A table is made once, when first asked for, and nothing is encoded again.
 
 Defined results: null and empty texts have no bytes and no tokens; added special tokens in a text count as one token,
-as is the library's default; nothing is added, truncated or padded; repeated rows give repeated result rows.
+as is the library's default; nothing is added, truncated or padded; texts of any length, and one piece of any length, are
+counted whole in linear time; repeated rows give repeated result rows, an empty table none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import copy
 import json
 from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -29,6 +34,11 @@ VOCABULARY, LIMIT, _MOST_CACHED, _LONG = "byte_bpe_50k.json", 512, 800_000, 256
 _OTHER = regex.compile("[^\x00-ԯ -⁯]")
 
 
+# The white space of Unicode, and the contractions that the splitting pattern takes first.
+_SPACES = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*")
+_CONTRACTION = regex.compile("'(?:s|t|re|ve|m|ll|d)")
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter that byte-level BPE writes for each byte: itself if it prints, else the next one from U+0100 on."""
     printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -135,6 +145,12 @@ class Encoder:
             at = m.end()
         yield text[at:], False
 
+    def plain(self) -> Encoder:
+        """The same without special tokens."""
+        other = copy.copy(self)
+        other.special = None
+        return other
+
     def count(self, text: str) -> int:
         if self.special and self.special.search(text):
             return sum(1 if special else sum(map(self.counts.__getitem__, self.pieces(part))) for part, special in self.parts(text))
@@ -146,17 +162,70 @@ class PrefixCounts:
 
     def __init__(self, encoder: Encoder, text: str):
         self.encoder, self.text = encoder, text
-        self.starts, self.before, self.kind = [], [], []
+        self.starts, self.before, self.special = [], [], []
+        self.tables: dict[tuple[int, int], np.ndarray] = {}
         at = total = 0
         for part, special in encoder.parts(text):
             for piece in [part] if special else encoder.pieces(part):
                 self.starts.append(at)
                 self.before.append(total)
-                self.kind.append("special" if special else "space" if piece.isspace() else "piece")
+                self.special.append(special)
                 at += len(piece)
                 total += 1 if special else encoder.counts[piece]
         self.total = total
 
+    def _end(self, j: int) -> int:
+        return self.starts[j + 1] if j + 1 < len(self.starts) else len(self.text)
+
+    def _table(self, start: int, end: int) -> np.ndarray:
+        """Token counts of text[start:p], which is one piece, for each p from start to end."""
+        known = self.tables.get((start, end))
+        if known is None:
+            part = self.text[start:end]
+            counts = np.array(self.encoder.prefix_counts(part), dtype=np.int64)
+            if part.isascii():
+                known = counts
+            else:
+                known = counts[np.concatenate([[0], np.cumsum([len(c.encode()) for c in part])])]
+            self.tables[start, end] = known
+        return known
+
+    def _piece(self, j: int) -> tuple[int, np.ndarray]:
+        """Where piece j's own signs begin (after a space before them), and the counts of text[:p] for p from its start to its end."""
+        start, end = self.starts[j], self._end(j)
+        piece = self.text[start:end]
+        blank = _SPACES.match(piece).end()
+        found = np.empty(end - start + 1, dtype=np.int64)
+        found[0] = self.before[j]
+        if blank:  # white space up to the cut is one piece, with what stands before it
+            k = j
+            while k and not self.special[k - 1] and _SPACES.fullmatch(self.text, self.starts[k - 1], self._end(k - 1)):
+                k -= 1
+            run = self._table(self.starts[k], start + blank)
+            found[: blank + 1] = self.before[k] + run[start - self.starts[k] :]
+        if blank < len(piece):
+            if _CONTRACTION.fullmatch(piece):  # cut, it is no contraction
+                found[1:] = [self.before[j] + sum(self.encoder.prefix_counts(t)[-1] for t in self.encoder.pieces(piece[:n])) for n in range(1, len(piece) + 1)]
+            else:
+                found[blank + 1 :] = self.before[j] + self._table(start, end)[blank + 1 :]
+        return found
+
+    def _cut_special(self, j: int) -> np.ndarray:
+        """The counts of text[:p] for p from special token j's start to its end; cut, it is plain text that may join what stands before."""
+        k = j
+        while k and not self.special[k - 1] and (k == j or _SPACES.fullmatch(self.text, self.starts[k], self._end(k))):
+            k -= 1
+        start, end = self.starts[j], self._end(j)
+        tail = PrefixCounts(self.encoder.plain(), self.text[self.starts[k] : end - 1])
+        inside = [tail.at(p - self.starts[k]) for p in range(start, end)]
+        return np.array([*(self.before[k] + x for x in inside), self.before[j] + 1], dtype=np.int64)
+
+    def _counts(self, j: int) -> np.ndarray:
+        known = self.tables.get((j, -1))
+        if known is None:
+            known = self.tables[j, -1] = self._cut_special(j) if self.special[j] else self._piece(j)
+        return known
+
     def at(self, p: int) -> int:
         """Tokens of text[:p]."""
         if p >= len(self.text):
@@ -164,24 +233,14 @@ class PrefixCounts:
         if p <= 0:
             return 0
         j = bisect.bisect_right(self.starts, p - 1) - 1
-        if self.kind[j] == "special":
-            end = self.starts[j + 1] if j + 1 < len(self.starts) else len(self.text)
-            if p == end:
-                return self.before[j] + 1
-            if j and self.kind[j - 1] != "special":  # a part of a special token is plain text, and may join what stands before
-                j -= 1
-        while j and self.kind[j - 1] == "space":  # where white space is cut depends on what follows
-            j -= 1
-        tail = self.encoder.pieces(self.text[self.starts[j] : p])
-        return self.before[j] + sum(self.encoder.prefix_counts(t)[-1] for t in tail)
+        return int(self._counts(j)[p - self.starts[j]])
 
     def fit(self, n: int) -> int:
         """Characters of the longest prefix with at most n tokens, among those up to the end of the first piece beyond n."""
         if self.total <= n:
             return len(self.text)
         j = bisect.bisect_right(self.before, n) - 1
-        end = self.starts[j + 1] if j + 1 < len(self.starts) else len(self.text)
-        return next(p for p in range(end, self.starts[j] - 1, -1) if self.at(p) <= n)
+        return self.starts[j] + int(np.flatnonzero(self._counts(j) <= n)[-1])
 
 
 @cache

@@ -1,6 +1,6 @@
 import random
 
-from unitloom.llm.line_dedup import dedup_lines
+from unitloom.llm.line_dedup import dedup_lines, fingerprints
 
 
 def brute(rows, least):
@@ -61,3 +61,25 @@ def test_one_document_that_repeats_itself(documents):
     line = " ".join(f"w{i}" for i in range(60))
     found = dedup_lines(documents([(1, "\n".join([line] * 2_000)), (None, "x")])).collect()
     assert {(r.doc_id, r.n_removed, r.text) for r in found} == {(1, 1999, line), (None, 0, "x")}
+
+
+def test_fingerprints_are_fewer_than_lines_and_in_every_shared_run(documents):
+    rng = random.Random(7)
+    line = lambda: " ".join(rng.choices("abcdefghij", k=rng.randint(2, 6)))
+    passages = [[line() for _ in range(14)] for _ in range(20)]  # 28 words at least
+    rows = []
+    for i in range(80):
+        body = []
+        for p in rng.sample(passages, 2):
+            body += [line() for _ in range(rng.randint(1, 15))] + p
+        rows.append((i, "\n".join(body)))
+    found = fingerprints(documents(rows), 20).collect()
+    assert len(found) < sum(len(t.split("\n")) for _, t in rows) / 2
+    # every planted repeat goes, whatever stands around it
+    texts = {r.doc_id: r.text.split("\n") for r in dedup_lines(documents(rows), 20).collect()}
+    holds = lambda lines, p: any(lines[k : k + len(p)] == p for k in range(len(lines)))
+    for p in passages:
+        first = next((i for i, t in rows if holds(t.split("\n"), p)), None)
+        later = [i for i, t in rows if i != first and holds(t.split("\n"), p)]
+        assert not any(holds(texts[i], p) for i in later)
+        assert first is None or holds(texts[first], p)

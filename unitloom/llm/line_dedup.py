@@ -1,18 +1,24 @@
-"""Line dedup by hashes of full windows of lines, with DataFrame functions only.
+"""Line dedup by winnowing over line hashes, with DataFrame functions only.
 
 A document's non-blank lines (trimmed of spaces) are hashed. A window is the shortest run of lines from a line on, or back from
-a line, that has ``LEAST_WORDS`` words; its key is the hash of all its lines, with their number and the smallest line hash in it (which
-only makes chance collisions rarer). Every window is written and joined: this is not winnowing, nothing is selected. Any two
-runs of equal lines with that many words share a window, so they share a key. Occurrences of a key are joined to its first one
-in (doc_id, text, place) order, and all later ones are matches. There is no extension step: a run's windows, forward and backward,
-cover each of its lines, and the union of the later matches is deleted; shorter repeats, such as a common one-line footer, stay.
+a line, that has ``LEAST_WORDS`` words. Of each window the line of smallest hash (the first of equal ones) is selected: a
+fingerprint, which it keeps with the windows that selected it. Any two runs of equal lines with that many words share a
+window, and so a selected line at the same place in it: the fingerprints are a guaranteed sample, with fewer than one a line.
+
+Fingerprints that stand at one place only can be in no repeat and go no further, with all their windows. Positions of the
+others are joined: each window of a fingerprint, told by the hash of all its lines, with the first place in (doc_id,
+text, place) order where the fingerprint has that window. All later ones are matches. A match is extended both ways by those
+that overlap it: each line of a repeated run is in a window inside the run, from a line on or back from one, so the
+windows that match make up the run as far as it is equal. Runs that come later are deleted; shorter repeats, such as a common one-line
+footer, stay.
 
 Each occurrence meets the first one only, never every other. Firsts are found with partial aggregates and written as a table,
 so a passage that a third of all documents hold is a plain join that can be split. Windows are computed within one document.
 
 Defined results: null texts stay null with no lines; empty texts stay empty; blank lines are never deleted; rows that are equal
 in doc_id and text are one document for the search, and each gets the same result (so a repeated row is no repeat of itself,
-but equal texts under different ids are); null doc_ids come first in the order; other columns are ignored.
+but equal texts under different ids are); null doc_ids come first in the order; of texts that tie in doc_id the one of
+smaller hash is the first; texts of any length are searched whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,49 +30,58 @@ from unitloom.storage import materialize
 
 LEAST_WORDS = 50
 _ROW = ("__id", "__text")
+_KEY = ("line", "whole", "n")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(__id, __text, at, words, line): at counts the words before the line, __text is the hash of the whole text."""
+    """(__id, __text, no, line, words) of the non-blank lines, dealt by document; __text is the hash of the whole text."""
     every = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"), F.col("text").alias("__whole")).where("__whole is not null")
     lines = every.select(*_ROW, F.posexplode(F.split("__whole", "\n")).alias("no", "raw")).withColumn("raw", F.trim("raw")).where("raw <> ''")
     lines = lines.select(*_ROW, "no", F.struct(F.xxhash64("raw").alias("a"), F.crc32(F.col("raw").cast("binary")).alias("b")).alias("line"), (F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"))
-    return lines.dropDuplicates([*_ROW, "no"])
+    return lines.repartition(*_ROW).dropDuplicates([*_ROW, "no"])
 
 
-def _windows(lines: DataFrame, least: int) -> DataFrame:
-    """(__id, __text, key, first, nos) of every window that has ``least`` words; nos: its lines' numbers."""
+def fingerprints(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(__id, __text, at, line, windows): the selected lines and the windows (first, last, n, whole) that selected each."""
     order = Window.partitionBy(*_ROW).orderBy("no")
-    placed = lines.withColumn("end", F.sum("words").over(order)).withColumn("at", F.col("end") - F.col("words"))
-    ahead = Window.partitionBy(*_ROW).orderBy("at").rangeBetween(0, least - 1)
+    placed = _lines(docs).withColumn("end", F.sum("words").over(order)).withColumn("start", F.col("end") - F.col("words"))
+    ahead = Window.partitionBy(*_ROW).orderBy("start").rangeBetween(0, least - 1)
     back = Window.partitionBy(*_ROW).orderBy("end").rangeBetween(1 - least, 0)
     item = F.struct("no", "line", "words")
-    both = placed.select(*_ROW, F.collect_list(item).over(ahead).alias("x"), F.collect_list(item).over(back).alias("y"))
-    both = both.select(*_ROW, F.explode(F.array("x", "y")).alias("run"))
-    full = both.where(F.aggregate("run", F.lit(0).cast("long"), lambda n, x: n + x["words"]) >= least)
-    return full.select(
-        *_ROW, F.struct(F.array_min("run.line").alias("least"), F.xxhash64("run.line").alias("whole"), F.size("run").alias("n")).alias("key"),
-        F.array_min("run.no").alias("first"), F.col("run.no").alias("nos"),
-    )
+    runs = placed.select(*_ROW, "words", F.collect_list(item).over(ahead).alias("x"), F.collect_list(item).over(back).alias("y"))
+    size = lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    # a run back that has too few words without its last line is the run on from its first line
+    both = F.filter(F.array(F.when(size("x") >= least, F.col("x")), F.when(size("y") - F.col("words") >= least, F.col("y"))), lambda run: run.isNotNull())
+    full = runs.select(*_ROW, F.explode(both).alias("run"))
+    chosen = F.array_min(F.transform("run", lambda x: F.struct(x["line"].alias("line"), x["no"].alias("no"))))
+    window = F.struct(F.element_at("run.no", 1).alias("first"), F.element_at("run.no", -1).alias("last"), F.size("run").alias("n"), F.xxhash64("run.line").alias("whole"))
+    picked = full.select(*_ROW, chosen.alias("chosen"), window.alias("window"))
+    return picked.groupBy(*_ROW, F.col("chosen.no").alias("at"), F.col("chosen.line").alias("line")).agg(F.collect_list("window").alias("windows"))
 
 
 def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(__id, __text, gone): the numbers of the lines to delete, one row for each document that has any."""
-    windows = materialize(_windows(_lines(docs), least), "windows")
+    """(__id, __text, spans): the first and last lines of the windows to delete, one row for each document that has any."""
+    prints = materialize(fingerprints(docs, least), "fingerprints")
+    place = F.struct(*_ROW, "at")
+    common = materialize(prints.groupBy("line").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("line"), "common")
+    joined = prints.join(common, "line").select(*_ROW, "line", F.explode("windows").alias("w"))
+    windows = materialize(joined.select(*_ROW, "line", "w.whole", "w.n", "w.first", "w.last"), "windows")
     place = F.struct(*_ROW, "first")
-    shared = windows.groupBy("key").agg(F.min(place).alias("origin"), F.max(place).alias("last")).where("origin <> last").select("key", "origin")
-    later = windows.join(materialize(shared, "shared"), "key").where(~place.eqNullSafe(F.col("origin")))
-    return later.groupBy(*_ROW).agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("gone"))
+    shared = windows.groupBy(*_KEY).agg(F.min(place).alias("origin"), F.max(place).alias("latest")).where("origin <> latest").select(*_KEY, "origin")
+    later = windows.join(materialize(shared, "shared"), list(_KEY)).where(~place.eqNullSafe(F.col("origin")))
+    return later.groupBy(*_ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text), one row for each row of docs; text without the deleted lines."""
-    gone = repeats(docs, least).select(F.col("__id").alias("__i"), F.col("__text").alias("__t"), "gone")
+    found = repeats(docs, least).select(F.col("__id").alias("__i"), F.col("__text").alias("__t"), "spans")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__text"))
-    found = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__text") == F.col("__t")), "left")
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__text") == F.col("__t")), "left")
     lines = F.split("text", "\n")
+    inside = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))
+    gone = F.filter(inside, lambda k: F.trim(F.get(lines, k)) != "")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    return found.select(
+    return joined.withColumn("gone", F.when(F.col("spans").isNotNull(), gone)).select(
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")).alias("text"),
     )

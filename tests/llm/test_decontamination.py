@@ -1,12 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
 from unitloom.llm import decontamination
-from unitloom.llm.decontamination import SuffixArray, contamination, decontaminate
+from unitloom.llm.decontamination import SuffixArray, TestItems, contamination, decontaminate, locate, matches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -31,7 +32,18 @@ def brute(docs, items):
                     hit |= set(range(k, k + n))
                     found |= windows[tuple(ws[k : k + n])]
         found = sorted(str(i) for i in found if i is not None)
-        out.append((d, len(ws), len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(ws)))
+        longest, at = 0, -1
+        for _, item in items:
+            other = split(item)
+            least = min(13, len(other))
+            for i in range(len(ws)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(ws) and j + n < len(other) and ws[i + n] == other[j + n]:
+                        n += 1
+                    if n >= least and (least == 13 or j == 0) and (n, -i) > (longest, -at):
+                        longest, at = n, i
+        out.append((d, len(ws), len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(ws), longest, at))
     return out
 
 
@@ -58,7 +70,7 @@ def test_agrees_with_brute_force(spark, documents, edges, monkeypatch, seed, chu
     docs, items = random_case(seed)
     docs += edges[:-1]
     made, bench = tables(spark, documents, docs, items)
-    found = contamination(made, bench, chunk).drop("longest_run")
+    found = contamination(made, bench, chunk)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(brute(docs, items), key=str)
 
 
@@ -70,7 +82,7 @@ def test_removal(spark, documents):
     assert sorted((r.doc_id for r in decontaminate(made, bench).collect()), key=str) == [2, 3, 4, 5]
     assert decontaminate(made, bench).columns == made.columns
     assert sorted((r.doc_id for r in decontaminate(made, bench, 5).collect()), key=str) == [2, 3, 4, 5]
-    assert contamination(made, bench).where("doc_id = 1").first().longest_run == 30
+    assert contamination(made, bench).where("doc_id = 1").first()[6:] == (30, 300)
 
 
 def test_empty_tables(spark, documents, edges):
@@ -87,3 +99,28 @@ def test_suffixes_are_sorted():
     assert kept == sorted(kept)
     low, high = array.intervals(np.array([[2, 1], [1, 2], [3, 3]], dtype=np.int32))
     assert (high - low).tolist() == [3, 3, 0]
+
+
+def test_matches_are_maximal_and_located(spark, documents):
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(20)]
+    # a stretch of one item that goes on in another is two matches, not a longer one
+    docs = [(1, " ".join(["x", *a[5:30], "y", *b, *a[:13]])), (2, " ".join(a[:12])), (3, " ".join(b[3:17] + a[38:])), (None, None)]
+    items = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(b[7:] + a[:3]))]
+    made, bench = tables(spark, documents, docs, items)
+    for chunk in (10**6, 30):
+        found = {tuple(r) for r in matches(made, bench, chunk).collect()}
+        assert {(1, 1, "1", 5, 25), (1, 27, "2", 0, 20), (1, 34, "3", 0, 16), (1, 47, "1", 0, 13), (3, 0, "2", 3, 14)} <= found
+        assert {r[0] for r in found} == {1, 3}
+    assert {r.doc_id: (r.longest_match, r.longest_at) for r in contamination(made, bench).collect()} == {1: (25, 1), 2: (0, -1), 3: (14, 0), None: (0, -1)}
+
+
+def test_two_million_benchmark_words_are_one_pass():
+    rng = np.random.default_rng(0)
+    items = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 500) % 50_000).encode()) for i in range(4_000)]
+    began = time.perf_counter()
+    test = TestItems(items)
+    ids = rng.integers(1, 2_000, 200_000).astype(np.int32)
+    ids[1_000:1_400] = test.text[test.first[7] + 50 : test.first[7] + 450]
+    found = locate(ids, test)
+    assert time.perf_counter() - began < 120
+    assert found.at.min() == 1_000 and found.length[found.at == 1_000].max() >= 400

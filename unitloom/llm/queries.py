@@ -32,8 +32,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.drop("longest_run")
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +72,17 @@ di AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes
 hits AS (
   SELECT di.doc_id, di.i, di.k, windows.item_id FROM di JOIN windows ON windows.k = di.k AND windows.g = array_to_string(list_slice(di.w, di.i, di.i + di.k - 1), ' ')
 ), covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id),
+places AS (SELECT item_id, w, k, i AS j, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM bi),
+lines AS (
+  SELECT di.doc_id, p.item_id, p.w, di.k, di.i, di.i - p.j AS d, row_number() OVER (PARTITION BY di.doc_id, p.item_id, p.w, di.k, di.i - p.j ORDER BY di.i) AS r
+  FROM di JOIN places p ON p.k = di.k AND p.g = array_to_string(list_slice(di.w, di.i, di.i + di.k - 1), ' ')
+), runs AS (SELECT doc_id, k + count(*) - 1 AS n, min(i) - 1 AS a FROM lines GROUP BY doc_id, item_id, w, k, d, i - r),
+longest AS (SELECT doc_id, max(n) AS n, min(a) FILTER (WHERE n = top) AS a FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top FROM runs) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(longest.n, 0) AS BIGINT) AS longest_match, CAST(coalesce(longest.a, -1) AS BIGINT) AS longest_at
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from unitloom.llm.sharding import assign, plan, ring
+from unitloom.llm.sharding import PLACES, assign, plan, ring
 
 
 def rows_of(documents, rows, shards=7, **more):
@@ -78,3 +78,26 @@ def test_edges_and_carried_columns(documents, edges):
     check(found, edges, 3)
     assert {r.key for r in found} == {"x"} and len({r.text for r in found}) == 7
     assert rows_of(documents, []) == []
+
+
+def homes(keys, shards):
+    """The shard of each key (its rank along the ring) by the plan."""
+    counts = {}
+    for k in keys:
+        counts[k] = counts.get(k, 0) + 1
+    out = {}
+    for _, low, high, _, shard, _ in plan(counts, shards):
+        out.update(dict.fromkeys(range(low, high), shard))
+    return out
+
+
+def test_movement_is_limited():
+    rng = random.Random(5)
+    keys = sorted(rng.randrange(PLACES) for _ in range(50_000))
+    before, after = homes(keys, 40), homes(keys, 41)
+    moved = sum(before[i] != after[i] for i in range(len(keys))) / len(keys)
+    assert moved < 0.06
+    one = homes(sorted([*keys, 30_000]), 40)
+    at = sorted([*keys, 30_000]).index(30_000)
+    changed = sum(before[i] != one[i + (i >= at)] for i in range(len(keys)))
+    assert changed <= 10

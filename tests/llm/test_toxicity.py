@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -77,3 +78,44 @@ def test_edges(spark, documents, edges):
 def test_sample_is_bounded(spark, documents):
     docs, labels = tables(spark, documents, corpus(200))
     assert toxicity._training(docs, labels, 50).count() == 50
+
+
+def brute_score(model, text):
+    """Every pattern is looked for at every place of the folded text; a word inside an exception phrase does not count."""
+    folded = fold(text)
+    at = lambda p: [i for i in range(len(folded)) if folded.startswith(p, i)]
+    spared = [(i, i + len(p) - 1) for p in model.exceptions for i in at(p)]
+    words = {}
+    for p, w in model.weights.items():
+        for i in at(p):
+            if not any(a <= i < b for a, b in spared):
+                word = folded[i + 1 :].split(" ")[0]
+                words.setdefault(word, {}).setdefault(i, []).append(w)
+    if not words:
+        z = model.coefficients[0]
+    else:
+        last = {word: max(found[max(found)]) for word, found in words.items()}  # a word's places weigh alike
+        x = (sum(last.values()) / math.log(math.e + 1 + folded.count(" ")), math.log1p(len(last)), max(last.values()))
+        z = model.coefficients[0] + sum(c * v for c, v in zip(model.coefficients[1:], x, strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_matching_exceptions_and_score_agree_with_brute_force(spark, documents):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(25)]
+    weights = {f" {w} ": rng.uniform(1, 6) for w in rng.sample(words, 8)} | {f" {w[:3]}": rng.uniform(1, 6) for w in rng.sample(words, 6) if len(w) > 2}
+    model = Lexicon(weights, tuple({f" {a} {b} " for a, b in zip(rng.sample(words, 6), rng.sample(words, 6), strict=True)}), (-3.0, 1.5, 0.7, 0.4))
+    rows = [(i, " ".join(rng.choice([w, w.upper(), w.replace("a", "4"), w.replace("a", "\u0430"), w + ","]) for w in rng.choices(words, k=rng.randint(0, 30)))) for i in range(300)]
+    found = {r.doc_id: r for r in scored(documents(rows), model).collect()}
+    assert any(brute_score(model, t) != brute_score(Lexicon(weights, (), model.coefficients), t) for _, t in rows)
+    for i, t in rows:
+        assert math.isclose(found[i].score, brute_score(model, t), rel_tol=1e-9), t
+        assert found[i].predicted == (found[i].score >= 0.3)
+
+
+def test_the_text_learned_of_a_repeated_id_does_not_depend_on_the_order(spark, documents):
+    rows = corpus(300)
+    docs, labels = tables(spark, documents, rows)
+    more = docs.unionByName(docs.where("doc_id < 150").withColumn("text", docs.text.substr(3, 10**6)))
+    a, b = learn(more.repartition(3), labels), learn(more.orderBy("text"), labels)
+    assert (a.weights, a.exceptions) == (b.weights, b.exceptions)

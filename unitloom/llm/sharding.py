@@ -10,6 +10,10 @@ along the ring by partition offsets. The driver sees row counts of ring places a
 numbers and one a partition. It turns them into rank intervals for each place, which are broadcast (at most one a
 place, and one a boundary between shards) and joined by place.
 
+Movement: a row moves only if its home does, or the room on its way. From 40 to 41 shards, 3.8 % of 50,000 rows with keys
+of their own move, where 2.4 % have to and dealing by remainder moves 98 %; a row that is added moves five others
+(`tests/llm/test_sharding.py` measures both).
+
 Defined results: a null text has size 16, crc32 0 and the key of the empty text; rows that are equal in all of text and
 doc_id are interchangeable; an empty table gives no rows; other columns are ignored by `assign` unless it is asked to carry
 them, and then kept under their names, but for those named as a column of the result.
@@ -66,11 +70,22 @@ def plan(counts: dict[int, int], shards: int, vnodes: int = VNODES) -> list[tupl
     for v, place, a, b in segments:
         if (a := put(place, a, b, owners[v], owners[v])) < b:
             late.append((v, place, a, b))
+    ahead = list(range(len(places)))  # a later node that may have room, shortened as shards fill
+
+    def with_room(v: int) -> int:
+        seen = []
+        while ahead[v] != v or not room[owners[v]]:
+            if ahead[v] == v:
+                ahead[v] = (v + 1) % len(places)
+            seen.append(v)
+            v = ahead[v]
+        for k in seen:
+            ahead[k] = v
+        return v
+
     for v, place, a, b in late:
-        to = v
         while a < b:
-            to = (to + 1) % len(places)
-            a = put(place, a, b, owners[v], owners[to])
+            a = put(place, a, b, owners[v], owners[with_room((v + 1) % len(places))])
     return out
 
 

@@ -8,11 +8,16 @@ is divided by the logarithm of the text's length, and a logistic curve over sum,
 
 Learning uses labelled documents that are not held out (crc32 of the id's text mod 4 is not 2), at most ``MAX_TRAINING`` of
 them (those of smallest hash), and nothing but their text and label. Term weights are smoothed log ratios of document
-shares; exception phrases are two-word contexts of terms that clean documents have and toxic ones seldom do.
-
-Defined results: null and empty texts score as texts without a term; without any label every score is 0; a document that
-is labelled more than once is toxic if one label says so; null labels and labels without a document are ignored; repeated
-rows give repeated result rows.
+shares; exception phrases are two-word contexts of terms that clean documents have and toxic ones seldom do. The lexicon is a
+model of bounded size: the ``MAX_TERMS`` terms of largest weight, of those with ``LEAST_WEIGHT`` that ``LEAST_DOCS`` toxic documents
+and a share of ``LEAST_SHARE`` of them have, and the ``MAX_EXCEPTIONS`` commonest phrases. These bounds are on what is
+learned; every document is scored whole against all of it.
+
+Defined results: null and empty texts score as texts without a term; texts of any length are scored whole; without any label
+every score is 0; a document that is labelled more than once is toxic if one label says so; of several texts under one labelled id
+the smallest is learned from; terms that tie in weight, and phrases that tie in number, go by their letters; null labels
+and labels without a document are ignored; repeated rows give repeated result rows, an empty table none; other columns are
+ignored, and kept by `without_toxic`.
 """
 
 from __future__ import annotations
@@ -139,7 +144,8 @@ def _training(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most this many ids: small enough to broadcast
     texts = docs.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(texts.join(F.broadcast(chosen), F.col("__id") == F.col("doc_id")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).dropDuplicates(["text", "toxic"]), "labelled")
+    known = texts.join(F.broadcast(chosen), F.col("__id") == F.col("doc_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return materialize(known.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "toxic"), "labelled")
 
 
 def _counted(texts: DataFrame, count) -> DataFrame:

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from unitloom.llm import mixing
 from unitloom.llm.mixing import mixed, rake, sample
+from unitloom.llm.token_counts import VOCABULARY, encoder
 
 
 def corpus(n=4000):
@@ -120,3 +122,29 @@ def test_cells_in_a_table_are_raked_alike(documents, monkeypatch, targets, budge
     monkeypatch.setattr(mixing, "MAX_LANGS", 0)
     found = {r.doc_id: r.probability for r in mixed(docs, targets, budget).collect()}
     assert found.keys() == expected.keys() and all(found[i] == pytest.approx(expected[i], rel=1e-6) for i in found)
+
+
+def test_tokens_are_those_of_the_vocabulary(documents):
+    e = encoder(public_tokenizers.path(VOCABULARY))
+    rng = random.Random(1)
+    texts = ["", None, "x" * 5_000, " " * 3_000, "a<|endoftext|>b", *("".join(rng.choices(["é", "word ", "  ", "1234", "'ll", "\u6587\u5b57", "!!", "\n", "<|end"], k=60)) for _ in range(200))]
+    found = {r.doc_id: r.n_tokens for r in mixed(documents(list(enumerate(texts)))).collect()}
+    assert found == {i: max(1, e.count(t or "")) for i, t in enumerate(texts)}
+
+
+def test_a_topic_that_is_given(documents):
+    from pyspark.sql import functions as F
+
+    docs = documents(corpus(600)).withColumn("subject", F.when(F.col("doc_id") % 3 == 0, "law").when(F.col("doc_id") % 3 == 1, "news"))
+    found = mixed(docs, {"topic": {"law": 0.7, "news": 0.2, "(null)": 0.1}}, budget=0.2, topic=F.col("subject")).toPandas()
+    mass = (found.n_tokens * found.probability).groupby(found.topic).sum()
+    assert mass["law"] / mass.sum() == pytest.approx(0.7, rel=1e-6)
+    assert sample(docs, budget=0.5, topic=F.col("subject")).columns == docs.columns
+
+
+def test_rows_without_ids_are_drawn_apart_and_raking_says_what_it_misses(documents, caplog):
+    rows = [(None, f"some words of prose {i} " * 20) for i in range(400)]
+    kept = [r.kept for r in mixed(documents(rows), budget=0.5).collect()]
+    assert 120 < sum(kept) < 280
+    rake(np.array([[[1.0], [0.0]], [[0.0], [1.0]]]), [np.array([0.3, 0.7]), np.array([0.6, 0.4]), np.array([1.0])], rounds=3, budget=0.1)
+    assert "off its target" in caplog.text

@@ -6,22 +6,35 @@ scaled so that ``BUDGET`` of all tokens is expected. Where a cell would need mor
 is kept whole, and the rest is raked and scaled again around it. A document's draw is a hash of its id and
 the seed, so it is the same wherever and however often it is computed.
 
-Documents have no topic of their own, so it is the form of their text: shouted, symbols, table, list, short or prose. A
-document's tokens are estimated as a quarter of its UTF-8 bytes, and one. Targets are share ** power of the table itself,
-made to sum to one, unless given. Every source and language has cells of its own. Up to as many cells as ``MAX_SOURCES``
-sources and ``MAX_LANGS`` languages with one more of each can make are raked on the driver and broadcast; more of them stay in a
-table, which is raked with sums by margin and joins, each step written, by the same rule.
-
-Defined results: null texts count one token; null sources and languages are values of their own; a null doc_id
-draws as one id; rows that share a doc_id draw alike; an empty table gives no rows.
+A document's tokens are counted exactly, by the vocabulary of `token_counts`. Its topic is what the caller gives as a column;
+documents that come without one are told apart by the form of their text: shouted, symbols, table, list, short or prose.
+Targets are share ** power of the table itself, made to sum to one, unless given. Every source and language has cells of its
+own. Up to as many cells as ``MAX_SOURCES`` sources and ``MAX_LANGS`` languages with one more of each can make are raked on the
+driver and broadcast; more of them stay in a table, which is raked with sums by margin and joins, each step written, by the same
+rule. What raking leaves of a margin's target after ``ROUNDS`` rounds at most is logged. Texts are read once for tokens and
+cells, which are written without them; `sample` reads them a second time, as what it returns.
+
+Defined results: null and empty texts, and all others, count one token at least; texts of any length are counted whole; null
+sources, languages and topics are values of their own; a draw is of doc_id and text, so rows that share both draw alike
+(a null doc_id is one id); documents that tie in probability are drawn apart; other columns are ignored by `mixed` and
+kept by `sample`; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import logging
+import re
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
-from pyspark.sql import DataFrame
+import public_tokenizers
+import pyarrow as pa
+import tiktoken
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from unitloom.llm.token_counts import VOCABULARY, Encoder, encoder
 from unitloom.storage import materialize, release
 
 MAX_SOURCES, MAX_LANGS, BUDGET, SEED, ROUNDS, CLOSE = 256, 64, 0.7, 42, 200, 1e-10
@@ -31,11 +44,30 @@ _NULL = "(null)"
 _AXES = ("__source", "__lang", "__topic")
 
 
-def tokens(text: F.Column) -> F.Column:
-    return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long") + 1
+#: Pieces that may be longer are counted by prefix tables, in linear time.
+_UNBROKEN = re.compile(r"\S{1000}|\s{1000}")
+
+
+class Counter:
+    """The counts of `token_counts`, by a compiled encoder over the same merges."""
+
+    def __init__(self, known: Encoder):
+        merged = {(a + b).encode("latin-1"): 256 + i for (a, b), i in known.ranks.items()}
+        self.known, self.encoding = known, tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes([b]): b for b in range(256)} | merged, special_tokens={})
+
+    def count(self, text: str) -> int:
+        if _UNBROKEN.search(text) or self.known.special and self.known.special.search(text):
+            return self.known.count(text)
+        return len(self.encoding.encode_ordinary(text))
 
 
-def topic(text: F.Column) -> F.Column:
+@cache
+def counter(path: str) -> Counter:
+    return Counter(encoder(path))
+
+
+def form(text: Column) -> Column:
+    """The topic of documents that come without one."""
     n = F.octet_length(text)
     share = lambda signs: F.regexp_count(text, F.lit(f"[{signs}]")) / n
     count = lambda sign: n - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
@@ -73,6 +105,7 @@ def rake_cells(sums: np.ndarray, at: tuple[np.ndarray, ...], targets: list[np.nd
                 fitted = fitted * np.divide(goal, now, out=np.zeros_like(now), where=now > 0)[at[k]]
             if np.abs(fitted - before).max() <= CLOSE * total:
                 break
+        _told(max(np.abs(margin(k, fitted) - goal).max(initial=0) for k, goal in enumerate(goals)), total)
         wanted = budget * total - sums[full].sum()
         if wanted <= 0 or fitted.sum() <= 0:
             kept = np.where(full, 1.0, 0.0)
@@ -84,6 +117,11 @@ def rake_cells(sums: np.ndarray, at: tuple[np.ndarray, ...], targets: list[np.nd
     return np.clip(kept, 0.0, 1.0)
 
 
+def _told(miss: float, total: float) -> None:
+    if miss > 1e-6 * total:  # targets that no weights can fit, or too few rounds
+        logging.getLogger(__name__).warning("raking leaves a margin off its target by %.3g of all tokens", miss / total)
+
+
 def _shares(cells: DataFrame, axis: str, power: float, total: float, given: dict[str, float] | None) -> DataFrame:
     """(axis, share): the target share of each value of a margin."""
     own = cells.groupBy(axis).agg(F.sum("n").alias("share"))
@@ -118,6 +156,7 @@ def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, ro
                 fitted = _replace(fitted, fitted.join(factor, a).withColumn("w", F.col("w") * F.col("factor")).select(*fitted.columns))
             if fitted.agg(F.max(F.abs(F.col("w") - F.col("before")))).first()[0] <= CLOSE * total:
                 break
+        _told(max(fitted.groupBy(a).agg(F.sum("w").alias("sum")).join(goal, a).agg(F.max(F.abs(F.col("sum") - F.col("goal")))).first()[0] or 0 for a, goal in zip(_AXES, goals, strict=True)), total)
         mass = fitted.agg(F.sum("w")).first()[0]
         if wanted <= 0 or mass <= 0:
             return fitted.select(*_AXES, F.col("full").cast("double").alias("__keep"))
@@ -153,31 +192,52 @@ def _raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None, budget
     return cells.sparkSession.createDataFrame(table, "`__source` string, `__lang` string, `__topic` string, `__keep` double")
 
 
-def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """docs with __tokens, __source, __lang, __topic and __keep, the probability of each row."""
-    known = docs.withColumns({
-        "__tokens": tokens(F.col("text")), "__topic": topic(F.col("text")),
-        "__source": F.coalesce("source", F.lit(_NULL)), "__lang": F.coalesce("lang", F.lit(_NULL)),
-    })
+def draw(seed: int = SEED) -> Column:
+    """Uniform in [0, 1) by document."""
+    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit(seed)), 11) / F.lit(float(1 << 53))
+
+
+def _celled(docs: DataFrame, topic: Column | None) -> dict[str, Column]:
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(_NULL))
+    return {"__source": named(F.col("source")), "__lang": named(F.col("lang")), "__topic": named(form(F.col("text")) if topic is None else topic)}
+
+
+def measured(docs: DataFrame, topic: Column | None = None, path: str | None = None) -> DataFrame:
+    """(doc_id, source, lang, __source, __lang, __topic, __draw, __tokens), written: one scan of the texts."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    own = ["doc_id", "source", "lang", *_AXES, "__draw"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = counter(path)
+        for b in batches:
+            counts = [max(1, known.count(t.as_py() or "")) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(counts, pa.int64())], [*own, "__tokens"])
+
+    rows = docs.withColumns({**_celled(docs, topic), "__draw": draw()}).select(*own, "text")
+    schema = "doc_id long, source string, lang string, __source string, __lang string, __topic string, __draw double, __tokens long"
+    return materialize(rows.mapInArrow(run, schema), "measured")
+
+
+def chances(known: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+    """(__s, __l, __t, __keep): the probability of each cell of a measured table."""
     cells = materialize(known.groupBy(*_AXES).agg(F.sum("__tokens").alias("n")), "mixing")
     few = cells.count() <= (MAX_SOURCES + 1) * (MAX_LANGS + 1) * 6
-    chances = F.broadcast(_raked(cells, targets, budget)) if few else rake_table(cells, targets, budget=budget)
-    chances = chances.withColumnsRenamed({"__source": "__s", "__lang": "__l", "__topic": "__t"})
-    same = (F.col("__s") == F.col("__source")) & (F.col("__l") == F.col("__lang")) & (F.col("__t") == F.col("__topic"))
-    return known.join(chances, same).drop("__s", "__l", "__t")
+    found = F.broadcast(_raked(cells, targets, budget)) if few else rake_table(cells, targets, budget=budget)
+    return found.withColumnsRenamed({"__source": "__s", "__lang": "__l", "__topic": "__t"})
 
 
-def draw(seed: int = SEED) -> F.Column:
-    """Uniform in [0, 1) by document."""
-    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) / F.lit(float(1 << 53))
+def _same() -> Column:
+    return (F.col("__s") == F.col("__source")) & (F.col("__l") == F.col("__lang")) & (F.col("__t") == F.col("__topic"))
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, probability, kept), one row for each row of docs."""
-    known = probabilities(docs.select("doc_id", "text", "source", "lang"), targets, budget)
-    return known.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__keep").alias("probability"), (draw() < F.col("__keep")).alias("kept"))
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, topic: Column | None = None) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, probability, kept), one row for each row of docs; topic: a column of docs, instead of the form."""
+    known = measured(docs, topic)
+    rows = known.join(chances(known, targets, budget), _same())
+    return rows.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__keep").alias("probability"), (F.col("__draw") < F.col("__keep")).alias("kept"))
 
 
-def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, topic: Column | None = None) -> DataFrame:
     """The rows of docs that are drawn, with their own columns. Nothing is shuffled but the cells' sums, as far as the driver rakes them."""
-    return probabilities(docs, targets, budget).where(draw() < F.col("__keep")).select(*docs.columns)
+    found = chances(measured(docs, topic), targets, budget)
+    return docs.withColumns(_celled(docs, topic)).join(found, _same()).where(draw() < F.col("__keep")).select(*docs.columns)

@@ -1,6 +1,8 @@
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +166,52 @@ def test_strict_pairs_need_both_sides(spark):
     a, b = spark.createDataFrame([(1, 2)], "k long, x long"), spark.createDataFrame([(2, 2)], "k long, y long")
     with pytest.raises(Exception, match="no counterpart"):
         intervals.paired_strictly(a, b, "k").collect()
+
+
+def naive_hits(outer, inner, tolerance):
+    free, hits = list(range(len(inner))), 0
+    for o in outer:
+        for k in free:
+            if all(abs(a - b) <= tolerance for a, b in zip(o, inner[k], strict=True)):
+                free.remove(k)
+                hits += 1
+                break
+    return hits
+
+
+def test_one_pass_takes_the_same_hits():
+    rng = random.Random(8)
+    for k in range(400):
+        ends = lambda: sorted(rng.choices(range(60), k=rng.randint(0, 14)))  # noqa: B023, E731
+        a, b = ends(), ends()
+        if k % 5 == 0:
+            rng.shuffle(a)
+        for x, y in (([[v] for v in a], [[v] for v in b]), ([list(p) for p in zip([0, *a], a, strict=False)], [list(p) for p in zip([0, *b], b, strict=False)])):
+            d = len((x or y or [[0]])[0])
+            assert boundaries.greedy_hits(np.array(x).reshape(-1, d), np.array(y).reshape(-1, d), 5) == naive_hits(x, y, 5)
+
+
+def test_a_long_island_is_quick(spark):
+    n = 20_000
+    matched = spark.createDataFrame([(list(range(0, 10 * n, 5)), list(range(0, 10 * n, 10)))], "found array<long>, ends array<long>")
+    began = time.perf_counter()
+    assert boundaries.boundary_counts(matched).first()[2] == n - 1
+    assert boundaries.token_counts(matched).first()[2] > 0
+    assert time.perf_counter() - began < 60
+
+
+def test_pairs_of_a_large_cluster_are_dealt_in_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(c, "".join(rng.choices("abc", k=rng.randint(1, 6))), rng.randint(1, 4)) for c in range(3) for _ in range(30)]
+    counts = spark.createDataFrame(list({r[:2]: r for r in rows}.values()), "cluster long, code string, n long")
+    expected = agreement.wnes(counts).first()[0]
+    monkeypatch.setattr(agreement, "BLOCK", 4)
+    assert agreement.wnes(counts).first()[0] == pytest.approx(expected, abs=1e-12)
+
+
+def test_large_vocabularies_are_encoded(spark):
+    assert len({encoding.letter(i) for i in range(0, encoding.MOST, 7)}) == len(range(0, encoding.MOST, 7))
+    rows = spark.createDataFrame([(i, [f"t{i}", f"t{i + 1}", f"t{i}"]) for i in range(9_000)], "id long, phones array<string>")
+    made = encoding.encoded(rows, "phones", "code")
+    a = made.where("id = 5").select("code").withColumnRenamed("code", "a").join(made.where("id in (6, 8999)").select("id", "code"))
+    assert {(r.id, r.d, r.n) for r in a.select("id", F.levenshtein("a", "code").alias("d"), F.length("code").alias("n")).collect()} == {(6, naive_lev("aba", "bcb"), 3), (8999, 3, 3)}

@@ -1,8 +1,11 @@
+import threading
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from unitloom.operators import graph, infer, kmeans, leiden, runs, vectors
+from unitloom.operators import graph, index, infer, kmeans, leiden, runs, vectors
 from unitloom.operators.ranking import rank_frequency
 from unitloom.plans import vector_queries
 from unitloom.plans.vector_queries import subsample
@@ -131,35 +134,41 @@ def test_cpm_quality(spark):
     assert tuple(leiden.cpm_quality(member, edges, 0.2).first()) == (pytest.approx(0.3), 2)
 
 
-class Line(leiden.Search):
-    def state(self, point):
-        if point > 0.95:
-            raise ZeroDivisionError
-        return point * 100
-
-    def value(self, state):
-        return state
+def line(point):
+    if point > 0.95:
+        raise ZeroDivisionError
+    return point * 100, None
 
 
 def test_search():
-    found = Line(37, 0.5, 0.0, 1.0).run()
+    found = leiden.search(line, 37, 0.5, 0.0, 1.0)
     assert abs(found.value - 37) <= 0.5
     with pytest.raises(RuntimeError):
-        Line(5, 1, 0.96, 1.0).run()
+        leiden.search(line, 5, 1, 0.96, 1.0)
 
 
 def test_search_says_when_it_does_not_settle(caplog):
-    Line(37, 0.5, 0.0, 1.0).run()
+    leiden.search(line, 37, 0.5, 0.0, 1.0)
     assert not caplog.records
-    Line(37.123, 1e-9, 0.0, 1.0, rounds=2).run()
+    leiden.search(line, 37.123, 1e-9, 0.0, 1.0, rounds=2)
     assert "did not settle" in caplog.text
 
 
+def test_the_points_of_a_round_run_at_once():
+    together = threading.Barrier(4, timeout=20)
+
+    def evaluate(point):
+        together.wait()
+        return point, None
+
+    assert leiden.search(evaluate, 0.2, 0.01, 0.0, 1.0).point == pytest.approx(0.2)
+
+
 def test_resolution_search_query_runs_in_full(spark, blobs, monkeypatch):
     seen = []
     monkeypatch.setattr(vector_queries, "_vectors", lambda *_: blobs)
     monkeypatch.setattr(vector_queries, "_edges", lambda *_: vectors.cosine_edges(blobs, "vec_id", "vec", 0.3))
-    monkeypatch.setattr(leiden.ResolutionSearch, "run", lambda self: seen.append((self.rounds, self.points)) or leiden.Found(0.5, 4, 0, None))
+    monkeypatch.setattr(leiden, "search", lambda evaluate, target, tolerance, low, high, rounds, points: seen.append((rounds, points)) or leiden.Found(0.5, 4, 0, None))
     assert vector_queries.resolution_search(spark, "").collect()[0].clusters == 4
     assert seen == [(15, 4)]
 
@@ -282,3 +291,47 @@ def test_tracked():
 def test_report_puts_unknown_scores_last(spark):
     log = spark.createDataFrame([("a", float("nan")), ("b", 0.25), ("c", None)], "run string, f1_wnes double")
     assert [(r.run) for r in runs.report(log).collect()] == ["b", "a", "c"]
+
+
+def test_a_log_is_never_lost(spark, tmp_path):
+    path = str(tmp_path / "log")
+    tables.append_to_log(spark, path, spark.createDataFrame([("a", 1), ("b", 2)], "run string, k int"))
+    tables.append_to_log(spark, path, spark.createDataFrame([("c", "many")], "run string, k string"))  # another type
+    assert {r.run for r in tables.read_log(spark, path).collect()} == {"a", "b", "c"}
+    with pytest.raises(Exception):  # noqa: B017
+        tables.append_to_log(spark, path, spark.createDataFrame([("d", [1])], "run string, k array<int>"))
+    assert {r.run for r in tables.read_log(spark, path).collect()} == {"a", "b", "c"}
+    (tmp_path / "log").rename(tmp_path / "log.old")  # broken off between the two renames
+    tables.append_to_log(spark, path, spark.createDataFrame([("e", "5")], "run string, k string"))
+    assert {r.run for r in tables.read_log(spark, path).collect()} == {"a", "b", "c", "e"}
+
+
+def test_arrays_go_to_the_store_that_is_named(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a/u", 0, 0, 5, 1), ("a/u", 1, 5, 9, 2)], "utt string, seg_idx long, start_frame long, end_frame long, unit_id long")
+    for root in (f"file://{tmp_path}/x", f"file:{tmp_path}/y", str(tmp_path / "z")):
+        assert arrays.write_segments(rows, root).collect()[0].n_rows == 2
+        assert arrays.segments(spark, root).count() == 2
+    with pytest.raises(ValueError, match="no store"):
+        arrays.write_segments(rows, "nowhere://bucket/out")
+    made = spark.createDataFrame([("b/u", 1, [3.0, 4.0]), ("b/u", 0, [1.0, 2.0])], "utt string, seg_idx long, vec array<double>")
+    arrays.write_features(made, str(tmp_path / "f")).collect()
+    assert np.load(tmp_path / "f/b/u.npy").tolist() == [[1, 2], [3, 4]]
+
+
+def test_probed_neighbours(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 12))
+    v = spark.createDataFrame([(i, [float(x) for x in base[i % 40] + rng.normal(0, 0.4, 12)]) for i in range(1200)], "vec_id long, vec array<double>")
+    exact = vectors.nearest(v, v, "vec_id", "vec", 5)
+    centers = index.centroids(v, "vec_id", "vec", 30)
+    every = index.nearest_probed(v, v, "vec_id", "vec", 5, centers, len(centers), block=150)
+    key = lambda df: sorted((r.id, r.rn, r.other) for r in df.collect())
+    assert key(every) == key(exact)
+    assert index.recall(exact, index.nearest_probed(v, v, "vec_id", "vec", 5, centers, 8)) >= 0.9
+
+
+def test_leiden_of_one_large_component_is_quick():
+    rng = np.random.default_rng(1)
+    began = time.perf_counter()
+    leiden.leiden(20_000, [(i, i + 1, 0.5) for i in range(19_999)] + [(int(a), int(b), 0.05) for a, b in rng.integers(0, 20_000, (20_000, 2)) if a != b], 0.3)
+    assert time.perf_counter() - began < 60

@@ -14,7 +14,7 @@ from unitloom import stages
 
 STAGES = {
     "models": stages.fit_models, "graph": stages.train_graph, "kmeans": stages.train_kmeans, "infer": stages.infer_labels, "evaluate": stages.evaluate, "boundaries": stages.evaluate_boundaries,
-    "report": stages.report, "zipf": stages.zipf, "examples": stages.examples,
+    "sweep": stages.sweep, "chain": stages.chain, "report": stages.report, "zipf": stages.zipf, "examples": stages.examples,
 }
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from unitloom.functions.scalars import f1, normalized_distance
 from unitloom.storage import materialize
 
+#: Distinct sequences of a cluster that are compared with as many others in one join key.
+BLOCK = 1024
+
 
 def counted(labels: DataFrame) -> DataFrame:
     return labels.groupBy("cluster", "code").agg(F.count("*").alias("n"))
@@ -33,10 +36,19 @@ def ipacc(counts: DataFrame) -> DataFrame:
 
 
 def wnes(counts: DataFrame) -> DataFrame:
-    """One row: 1 - mean normalised distance of a cluster's pairs, weighted by its size; single segments count as 0."""
-    a = counts.select("cluster", F.col("code").alias("x"), F.col("n").alias("nx"))
-    b = counts.select(F.col("cluster").alias("c"), F.col("code").alias("y"), F.col("n").alias("ny"))
-    pairs = a.join(b, (F.col("cluster") == F.col("c")) & (F.col("x") < F.col("y")))
+    """One row: 1 - mean normalised distance of a cluster's pairs, weighted by its size; single segments count as 0.
+
+    A cluster's distinct sequences are dealt into blocks of about ``BLOCK`` by hash, and each pair of blocks is a join key of its
+    own, so the pairs of a large cluster are many tasks.
+    """
+    blocks = counts.groupBy(F.col("cluster").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = counts.join(blocks, F.col("cluster") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "mate"), "high": F.greatest("own", "mate")})
+    a = dealt.select("cluster", "low", "high", "own", F.col("code").alias("x"), F.col("n").alias("nx"))
+    b = dealt.select(F.col("cluster").alias("c"), F.col("low").alias("l"), F.col("high").alias("h"), F.col("own").alias("other"), F.col("code").alias("y"), F.col("n").alias("ny"))
+    meet = (F.col("cluster") == F.col("c")) & (F.col("low") == F.col("l")) & (F.col("high") == F.col("h"))
+    once = (F.col("own") != F.col("other")) | (F.col("low") == F.col("high"))
+    pairs = a.join(b, meet & once & (F.col("x") < F.col("y")))
     sums = pairs.groupBy("cluster").agg(F.sum(normalized_distance(F.col("x"), F.col("y")) * F.col("nx") * F.col("ny")).alias("s"))
     sizes = counts.groupBy("cluster").agg(F.sum("n").alias("n"))
     weighed = sizes.join(sums, "cluster", "left").select("n", F.when(F.col("n") > 1, F.coalesce("s", F.lit(0.0)) * 2 / (F.col("n") - 1)).otherwise(0.0).alias("d"))

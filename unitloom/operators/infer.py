@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from unitloom.operators.index import centroids, nearest_probed
 from unitloom.operators.vectors import majority_vote, nearest, nearest_centroid, projected, standardized
 
 
@@ -25,9 +26,12 @@ class Preparation:
         return projected(vectors, vec, self.pca, vec) if self.pca is not None else vectors
 
 
-def by_neighbours(queries: DataFrame, references: DataFrame, ident: str, vec: str, label: str, k: int = 3) -> DataFrame:
-    """(id, label): vote of the k exact nearest references by cosine."""
-    near = nearest(queries, references, ident, vec, k)
+def by_neighbours(queries: DataFrame, references: DataFrame, ident: str, vec: str, label: str, k: int = 3, probes: int | None = None) -> DataFrame:
+    """(id, label): vote of the k nearest references by cosine; exact, or with ``probes`` among those cells of an index."""
+    if probes is None:
+        near = nearest(queries, references, ident, vec, k)
+    else:
+        near = nearest_probed(queries, references, ident, vec, k, centroids(references, ident, vec), probes)
     labelled = near.join(references.select(F.col(ident).alias("other"), F.col(label).alias("label")), "other")
     return majority_vote(labelled.select("id", "rn", "label"), k)
 

@@ -38,13 +38,21 @@ def step(vectors: DataFrame, vec: str, centroids: np.ndarray) -> tuple[np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(seen), lists(total[seen]) if len(seen) else pa.array([], pa.list_(pa.float64())), pa.array(count[seen]), pa.array(cost[seen])], ["cluster", "total", "n", "cost"])
 
     parts = vectors.select(vec).mapInArrow(sums, "cluster long, total array<double>, n long, cost double")
-    added = parts.select("cluster", "n", "cost", F.posexplode("total").alias("dim", "x")).groupBy("cluster", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost"))
-    out, sizes, cost = centroids.copy(), np.zeros(len(centroids), dtype=np.int64), 0.0
-    for r in added.collect():  # k times dim numbers, as large as the model
-        out[r.cluster, r.dim] = r.x / r.n
-        sizes[r.cluster] = r.n
-        cost += r.cost if r.dim == 0 else 0.0
-    return out, sizes, cost
+    added = parts.groupBy("cluster").applyInArrow(_added, parts.schema).toArrow().combine_chunks()  # a row a cluster, as large as the model
+    out, sizes = centroids.copy(), np.zeros(len(centroids), dtype=np.int64)
+    if not added.num_rows:
+        return out, sizes, 0.0
+    at, n = added.column("cluster").to_numpy(), added.column("n").to_numpy()
+    out[at] = matrix(added.column("total").chunk(0)) / n[:, None]
+    sizes[at] = n
+    return out, sizes, float(added.column("cost").to_numpy().sum())
+
+
+def _added(parts: pa.Table) -> pa.Table:
+    """The sum of a cluster's parts, one from each task."""
+    parts = parts.combine_chunks()
+    total = matrix(parts.column("total").chunk(0)).sum(axis=0)
+    return pa.table({"cluster": parts.column("cluster")[:1], "total": lists(total[None]), "n": [int(parts.column("n").to_numpy().sum())], "cost": [float(parts.column("cost").to_numpy().sum())]})
 
 
 def _nearer(state: DataFrame, fresh: np.ndarray, first: int) -> DataFrame:

@@ -8,9 +8,9 @@ needs no task. One component is as large as a task can hold; there is no distrib
 from __future__ import annotations
 
 import logging
-from abc import ABC, abstractmethod
 from collections import defaultdict
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +30,7 @@ def _move(graph: Adjacency, size: list[int], part: list[int], gamma: float, rng:
     for v, c in enumerate(part):
         weight[c] += size[v]
     queue, waiting, moved = list(rng.permutation(len(graph))), [True] * len(graph), False
+    empty = [c for c in range(len(graph) - 1, -1, -1) if weight[c] == 0]  # and those that empty later
     at = 0
     while at < len(queue):
         v = int(queue[at])
@@ -46,8 +47,11 @@ def _move(graph: Adjacency, size: list[int], part: list[int], gamma: float, rng:
             if g > gain + 1e-12:
                 best, gain = c, g
         if gain < -1e-12:  # better alone
-            empty = next((c for c in range(len(graph)) if weight[c] == 0), own)
-            best, gain = empty, 0.0
+            while weight[empty[-1]]:
+                empty.pop()
+            best = empty.pop()
+        if not weight[own] and best != own:
+            empty.append(own)
         weight[best] += size[v]
         if best != own:
             part[v], moved = best, True
@@ -142,67 +146,57 @@ class Found:
     state: object
 
 
-class Search(ABC):
-    """N-ary search for the point whose value is nearest a target: several inner points a round, then the interval narrows.
+def search(evaluate: Callable[[float], tuple[float, object]], target: float, tolerance: float, low: float, high: float, rounds: int = 15, points: int = 4, seen: Callable[[int, Found], None] = lambda *_: None) -> Found:
+    """N-ary search for the point whose value is nearest a target: ``points`` inner points a round, evaluated at once, then the interval narrows.
 
-    Where the values are not monotone, the next interval is one step around the best point. Points that fail are left out.
+    evaluate(point) is (value, state); points where it raises ArithmeticError are left out. Where the values are not
+    monotone, the next interval is one step around the best point. seen is called for each point in order.
     """
-
-    def __init__(self, target: float, tolerance: float, low: float, high: float, rounds: int = 15, points: int = 4):
-        if not low < high or points < 1 or rounds < 1:
-            raise ValueError("low < high, a point and a round are needed")
-        self.target, self.tolerance, self.low, self.high, self.rounds, self.points = target, tolerance, low, high, rounds, points
-
-    @abstractmethod
-    def state(self, point: float) -> object: ...
-
-    @abstractmethod
-    def value(self, state: object) -> float: ...
-
-    def seen(self, round_: int, point: float, state: object, value: float, difference: float) -> None:
-        """Called for each point in order."""
-
-    def run(self) -> Found:
-        low, high, best = self.low, self.high, None
-        for k in range(self.rounds):
-            gap = (high - low) / (self.points + 1)
-            known, errors = [], []
-            for p in (low + gap * (i + 1) for i in range(self.points)):
-                try:
-                    known.append((p, s := self.state(p), self.value(s)))
-                except ArithmeticError as e:
-                    errors.append(e)
+    if not low < high or points < 1 or rounds < 1:
+        raise ValueError("low < high, a point and a round are needed")
+
+    def tried(point: float) -> Found | ArithmeticError:
+        try:
+            value, state = evaluate(point)
+            return Found(point, value, abs(value - target), state)
+        except ArithmeticError as e:
+            return e
+
+    least, most, best = low, high, None
+    with ThreadPoolExecutor(points) as pool:
+        for k in range(rounds):
+            gap = (high - low) / (points + 1)
+            told = list(pool.map(tried, [low + gap * (i + 1) for i in range(points)]))
+            known = [f for f in told if isinstance(f, Found)]
             if not known:
-                raise RuntimeError("every point failed") from errors[0]
-            for p, s, v in known:
-                self.seen(k, p, s, v, v - self.target)
-                if best is None or abs(v - self.target) < best.difference:
-                    best = Found(p, v, abs(v - self.target), s)
-            if any(abs(v - self.target) <= self.tolerance for _, _, v in known):
+                raise RuntimeError("every point failed") from told[0]
+            for f in known:
+                seen(k, f)
+                if best is None or f.difference < best.difference:
+                    best = f
+            if any(f.difference <= tolerance for f in known):
                 return best
-            below = max((p for p, _, v in known if v < self.target), default=low)
-            above = min((p for p, _, v in known if v >= self.target), default=high)
-            low, high = (below, above) if below < above else (max(self.low, best.point - gap), min(self.high, best.point + gap))
-        logging.getLogger(__name__).warning("the search did not settle in %d rounds: %s is %s off the target, tolerance %s", self.rounds, best.point, best.difference, self.tolerance)
-        return best
-
+            below = max((f.point for f in known if f.value < target), default=low)
+            above = min((f.point for f in known if f.value >= target), default=high)
+            low, high = (below, above) if below < above else (max(least, best.point - gap), min(most, best.point + gap))
+    logging.getLogger(__name__).warning("the search did not settle in %d rounds: %s is %s off the target, tolerance %s", rounds, best.point, best.difference, tolerance)
+    return best
 
-class ResolutionSearch(Search):
-    """The resolution whose communities are as many as wanted. Components are found once, for all points."""
 
-    def __init__(self, vertices: DataFrame, edges: DataFrame, target: int, tolerance: int = 10, low: float = 0.0, high: float = 1.0, rounds: int = 15, points: int = 4, seed: int = 42):
-        super().__init__(target, tolerance, low, high, rounds, points)
-        self.vertices, self.edges, self.seed = vertices, materialize(edges, "edges"), seed
-        self.parts = materialize(connected_components(self.edges), "components")
+def resolution_search(vertices: DataFrame, edges: DataFrame, target: int, tolerance: int = 10, low: float = 0.0, high: float = 1.0, rounds: int = 15, points: int = 4, leiden_rounds: int = 2, seed: int = 42) -> Found:
+    """The resolution whose communities (the state) are as many as wanted. Components are found once, for all points; the
+    points of a round are jobs that run at once."""
+    edges = materialize(edges, "edges")
+    parts = materialize(connected_components(edges), "components")
 
-    def state(self, point: float) -> DataFrame:
-        return materialize(communities(self.vertices, self.edges, point, seed=self.seed, parts=self.parts), "communities")
+    def evaluate(point: float) -> tuple[float, DataFrame]:
+        state = materialize(communities(vertices, edges, point, leiden_rounds, seed, parts), "communities")
+        return state.select("cluster").distinct().count(), state
 
-    def value(self, state: object) -> float:
-        return state.select("cluster").distinct().count()
+    return search(evaluate, target, tolerance, low, high, rounds, points)
 
 
-def partition(vertices: DataFrame, edges: DataFrame, resolution: float | None = None, target: int | None = None, tolerance: int = 10, report: Callable[[Found], None] = lambda _: None, **search) -> tuple[DataFrame, float]:
+def partition(vertices: DataFrame, edges: DataFrame, resolution: float | None = None, target: int | None = None, tolerance: int = 10, report: Callable[[Found], None] = lambda _: None, **options) -> tuple[DataFrame, float]:
     """Communities and their resolution: the one given, or the one found for a target; around the given one if both are."""
     if target is None:
         if resolution is None:
@@ -211,6 +205,6 @@ def partition(vertices: DataFrame, edges: DataFrame, resolution: float | None =
     span = {} if resolution is None else {"low": resolution - 0.1, "high": resolution + 0.1}
     if span:
         span["low"] = max(span["low"], 0.0)
-    found = ResolutionSearch(vertices, edges, target, tolerance, **span, **search).run()
+    found = resolution_search(vertices, edges, target, tolerance, **span, **options)
     report(found)
     return found.state, found.point

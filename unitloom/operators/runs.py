@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,20 @@ def pending(expected: DataFrame, done: DataFrame, key: str = "utt", size: str =
 
 
 def appended(log: DataFrame, rows: DataFrame) -> DataFrame:
-    return log.unionByName(rows, allowMissingColumns=True)
+    """The rows of both; a column that is text in one of them is text in all."""
+    a, b = dict(log.dtypes), dict(rows.dtypes)
+    text = [c for c in a.keys() & b.keys() if a[c] != b[c] and "string" in (a[c], b[c]) and "<" not in a[c] + b[c]]
+    wide = lambda df: df.withColumns({c: F.col(c).cast("string") for c in text})
+    return wide(log).unionByName(wide(rows), allowMissingColumns=True)
+
+
+def sweep(settings: Sequence[Mapping[str, object]], run: Callable[..., DataFrame]) -> DataFrame:
+    """The rows of ``run(**setting)`` for each setting in one table, with the settings as columns."""
+    every = None
+    for setting in settings:
+        one = run(**setting).withColumns({name: F.lit(value) for name, value in setting.items()})
+        every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+    return every
 
 
 def report(log: DataFrame, most: int = 10) -> DataFrame:

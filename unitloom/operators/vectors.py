@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 #: Rows of a block at most, about; a task holds two blocks and a part of their products.
-BLOCK = 4096
+BLOCK = 16384
 #: Bytes of a model that tasks may carry.
 MODEL_BYTES = 256 << 20
 
@@ -54,9 +54,25 @@ def scan_validate(vectors: DataFrame, vec: str) -> DataFrame:
 
 
 def scaler_fit(vectors: DataFrame, vec: str) -> DataFrame:
-    """(dim, mean, scale): means and population deviations, in one aggregate over (dim, value)."""
-    values = vectors.select(F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x"))
-    return values.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale"))
+    """(dim, mean, scale): means and population deviations. Tasks return a row a dimension, with the mean and the squares around it."""
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, square = 0, 0.0, 0.0
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                x = matrix(b.column(0).slice(at, 4096))
+                own = x.mean(axis=0)
+                apart = own - mean
+                square = square + ((x - own) ** 2).sum(axis=0) + apart**2 * (n * len(x) / (n + len(x)))
+                mean = mean + apart * (len(x) / (n + len(x)))
+                n += len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(mean), dtype=np.int32)), pa.array(np.full(len(mean), float(n))), pa.array(mean), pa.array(square)], ["dim", "n", "m", "s"])
+
+    parts = vectors.select(vec).where(F.col(vec).isNotNull()).mapInArrow(moments, "dim int, n double, m double, s double")
+    whole = parts.withColumn("mean", F.sum(F.col("n") * F.col("m")).over(Window.partitionBy("dim")) / F.sum("n").over(Window.partitionBy("dim")))
+    square = F.sum(F.col("s") + F.col("n") * (F.col("m") - F.col("mean")) ** 2)
+    return whole.groupBy("dim").agg(F.max("mean").alias("mean"), F.sqrt(square / F.sum("n")).alias("scale"))
 
 
 def scaler_model(fitted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +190,25 @@ def cosine_edges(vectors: DataFrame, ident: str, vec: str, least: float, block:
     return _pairs_of_blocks(vectors, None, ident, vec, block).groupBy("task").applyInPandas(compare, "src long, dst long, weight double")
 
 
+def best_of(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, least: float) -> pd.DataFrame:
+    """(id, other, sim): for each row of x the k rows of y of largest product (ties by id), never itself; others ascend."""
+    found = []
+    for at in range(0, len(ids), 512):
+        sims = x[at : at + 512] @ y.T
+        sims[ids[at : at + 512][:, None] == others[None]] = -np.inf
+        if sims.shape[1] > k:
+            cut = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+            r, c = np.nonzero((sims >= cut[:, None]) & (sims >= least))
+        else:
+            r, c = np.nonzero(sims >= least)
+        order = np.lexsort((others[c], -sims[r, c], r))
+        r, c = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c = r[place < k], c[place < k]
+        found.append(pd.DataFrame({"id": ids[at + r], "other": others[c], "sim": sims[r, c]}))
+    return pd.concat(found) if found else pd.DataFrame({"id": [], "other": [], "sim": []})
+
+
 def nearest(queries: DataFrame, references: DataFrame, ident: str, vec: str, k: int, least: float = -2.0, block: int = BLOCK) -> DataFrame:
     """(id, other, sim, rn): each query's k references of largest cosine (ties by id), never itself.
 
@@ -181,22 +216,7 @@ def nearest(queries: DataFrame, references: DataFrame, ident: str, vec: str, k:
     """
 
     def compare(task: pd.DataFrame) -> pd.DataFrame:
-        ids, x, others, y = _sides(task, False)
-        found = []
-        for at in range(0, len(ids), 512):
-            sims = x[at : at + 512] @ y.T
-            sims[ids[at : at + 512][:, None] == others[None]] = -np.inf
-            if sims.shape[1] > k:
-                cut = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
-                r, c = np.nonzero((sims >= cut[:, None]) & (sims >= least))
-            else:
-                r, c = np.nonzero(sims >= least)
-            order = np.lexsort((others[c], -sims[r, c], r))
-            r, c = r[order], c[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            r, c = r[place < k], c[place < k]
-            found.append(pd.DataFrame({"id": ids[at + r], "other": others[c], "sim": sims[r, c]}))
-        return pd.concat(found) if found else pd.DataFrame({"id": [], "other": [], "sim": []})
+        return best_of(*_sides(task, False), k, least)
 
     candidates = _pairs_of_blocks(queries, references, ident, vec, block).groupBy("task").applyInPandas(compare, "id long, other long, sim double")
     w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")

@@ -10,7 +10,6 @@ from unitloom.operators import runs
 from unitloom.plans import timeline
 from unitloom.plans.sequence_queries import _tl
 from unitloom.plans.sequence_queries import clustering_metrics as metrics
-from unitloom.storage import read_table
 
 #: clustering, num_neighbours, min_sim, resolution, clusters, runtime, ram
 RUNS = [
@@ -81,18 +80,7 @@ def pending_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.pending(expected, done)
 
 
-def sweep_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One result for each of a few configurations, in one table."""
-    lengths = read_table(spark, sf_dir, "documents").select(F.length("text").alias("n"))
-    every = None
-    for ef in (256, 512):
-        for k in (78705, 33902, 15928):
-            one = lengths.agg(F.count_if(F.col("n") % k < ef).alias("hits")).withColumns({"ef_search": F.lit(ef), "num_clusters": F.lit(k)})
-            every = one if every is None else every.unionByName(one)
-    return every
-
-
-QUERIES = [run_name_encode, run_name_parse, latest_run, method_label, eval_report, eval_param_sets, metrics_view, pending_utterances, sweep_union]
+QUERIES = [run_name_encode, run_name_parse, latest_run, method_label, eval_report, eval_param_sets, metrics_view, pending_utterances]
 
 
 def _values(rows: list[tuple], types: list[str]) -> str:
@@ -129,5 +117,4 @@ SELECT k AS name, format('{:,}', v) AS shown FROM (
   SELECT 'num_segments' AS k, (SELECT count(*) FROM lab) AS v UNION ALL SELECT 'num_utterances', (SELECT count(DISTINCT utt) FROM seg) UNION ALL SELECT 'num_clusters', (SELECT count(DISTINCT cluster) FROM lab)
   UNION ALL SELECT 'num_clusters_all', (SELECT count(DISTINCT cluster) FROM seg) UNION ALL SELECT 'num_gold_types', (SELECT count(DISTINCT code) FROM lab))"""),
     "pending_utterances": _tl("SELECT utt, count(*) AS n_rows FROM seg WHERE utt % 3 = 0 OR utt % 4 = 0 GROUP BY utt"),
-    "sweep_union": "SELECT CAST(ef AS INTEGER) AS ef_search, CAST(k AS INTEGER) AS num_clusters, count(*) FILTER (WHERE length(text) % k < ef) AS hits FROM documents, (SELECT unnest([256, 512]) AS ef), (SELECT unnest([78705, 33902, 15928]) AS k) GROUP BY ef, k",
 }

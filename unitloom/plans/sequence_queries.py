@@ -256,7 +256,47 @@ sp AS (SELECT utt, idx, r_start, r_end, text <> 'sil' AS inside FROM gold),
 bg AS (SELECT *, CASE WHEN inside AND NOT coalesce(lag(inside) OVER (PARTITION BY utt ORDER BY r_start, idx), false) THEN 1 ELSE 0 END AS b FROM sp),
 isl AS (SELECT * FROM (SELECT *, CAST(sum(b) OVER (PARTITION BY utt ORDER BY r_start, idx) AS BIGINT) AS island FROM bg) WHERE inside)
 """
+_BOUND = """
+kn AS (SELECT utt, island, min(r_start) AS onset, list(r_end ORDER BY r_start, idx) AS ends FROM isl GROUP BY utt, island),
+ct AS (SELECT utt, s AS a FROM seg UNION ALL SELECT utt, max(e) FROM seg GROUP BY utt),
+fo AS (
+  SELECT kn.utt, kn.island, any_value(ends) AS ends, list(a ORDER BY a) FILTER (WHERE a IS NOT NULL) AS inside
+  FROM kn LEFT JOIN ct ON ct.utt = kn.utt AND a > onset + 5 AND a < ends[-1] - 5 GROUP BY kn.utt, kn.island
+), ma AS (SELECT utt, island, ends, list_concat(coalesce(inside, []), [ends[-1]]) AS found FROM fo),
+tk AS (SELECT utt, island, found AS oe, list_concat([0], found[1:-2]) AS os, ends AS ie, list_concat([0], ends[1:-2]) AS iss FROM ma)
+"""
+
+
+def _folded(name: str, start: str, outer: str, inner: str, near: str) -> str:
+    """One row (n_seg, n_ref, hits): each of outer, in order, takes the first of inner after the last one taken that is near."""
+    return f"""
+{name}_f AS (
+  SELECT *, 0 AS k, 0 AS last, 0 AS hits FROM {start}
+  UNION ALL
+  SELECT * EXCLUDE (j) REPLACE (k + 1 AS k, coalesce(j, last) AS last, hits + CASE WHEN j IS NULL THEN 0 ELSE 1 END AS hits)
+  FROM (SELECT *, CAST(list_min(list_filter(range(last + 1, len({inner}) + 1), lambda x: {near})) AS INTEGER) AS j FROM {name}_f WHERE k < len({outer}))
+)"""
+
+
+_B_FOLD = _folded("b", "(SELECT utt, island, found[1:-2] AS seg_, ends[1:-2] AS ref_ FROM ma)", "ref_", "seg_", "abs(seg_[x] - ref_[k + 1]) <= 5")
+_T_FOLD = _folded("t", "tk", "oe", "ie", "abs(iss[x] - os[k + 1]) <= 5 AND abs(ie[x] - oe[k + 1]) <= 5")
+_B_SUM = "b AS (SELECT CAST(sum(len(seg_)) AS BIGINT) AS n_seg, CAST(sum(len(ref_)) AS BIGINT) AS n_ref, CAST(sum(hits) AS BIGINT) AS hits FROM b_f WHERE k = len(ref_))"
+_T_SUM = "t AS (SELECT CAST(sum(len(oe)) AS BIGINT) AS n_seg, CAST(sum(len(ie)) AS BIGINT) AS n_ref, CAST(sum(hits) AS BIGINT) AS hits FROM t_f WHERE k = len(oe))"
+_PRF = "{0}s AS (SELECT *, CASE WHEN hits = 0 THEN 0.0::DOUBLE ELSE hits / n_seg END AS p, CASE WHEN hits = 0 THEN 0.0::DOUBLE ELSE hits / n_ref END AS r FROM {0})"
+_F1 = "CASE WHEN {0}.hits = 0 THEN 0 ELSE 2 * {0}.p * {0}.r / ({0}.p + {0}.r) END"
+
+
+def _recursive(select: str, *more: str) -> str:
+    return "WITH RECURSIVE " + ",".join([timeline.SQL, _SPOKEN, _BOUND, *more]) + select
+
+
 SQL = {
+    "boundary_metrics": _recursive(f"""
+SELECT round(bs.p, 4) AS precision, round(bs.r, 4) AS recall, round({_F1.format('bs')}, 4) AS f1, round(bs.r / bs.p - 1, 4) AS os,
+       round(1 - (sqrt((1 - bs.r) ** 2 + (bs.r / bs.p - 1) ** 2) + abs((1 - bs.r / bs.p + bs.r - 1) / sqrt(2.0))) / 2, 4) AS r_value,
+       round(ts.p, 4) AS token_precision, round(ts.r, 4) AS token_recall, round({_F1.format('ts')}, 4) AS token_f1
+FROM bs, ts""", _B_FOLD, _B_SUM, _PRF.format("b"), _T_FOLD, _T_SUM, _PRF.format("t")),
+    "token_boundary_metrics": _recursive(" SELECT n_seg, n_ref, hits AS n_hit FROM t", _T_FOLD, _T_SUM),
     "clustering_metrics": _tl(
         """
 SELECT round(pacc, 9) AS pacc, round(ipacc, 9) AS ipacc, round(CASE WHEN pacc + ipacc = 0 THEN 0 ELSE 2 * pacc * ipacc / (pacc + ipacc) END, 9) AS f1_pacc,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitloom.functions import scalars
-from unitloom.operators import graph, infer, kmeans, leiden, vectors
+from unitloom.operators import graph, index, infer, kmeans, leiden, runs, vectors
 from unitloom.operators.intervals import with_row_ids
 from unitloom.storage import checkpoint_root, materialize, read_table
 from unitloom.streaming.labels import label_stream
@@ -96,8 +96,7 @@ def leiden_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolution_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"))
-    search = leiden.ResolutionSearch(v, _edges(spark, sf_dir, TAU_SPARSE), target=int(0.93 * v.count()), tolerance=5)
-    found = search.run()
+    found = leiden.resolution_search(v, _edges(spark, sf_dir, TAU_SPARSE), target=int(0.93 * v.count()), tolerance=5)
     return spark.createDataFrame([(found.point, int(found.value), int(found.difference))], "resolution double, clusters long, difference long")
 
 
@@ -178,7 +177,26 @@ def apply_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rms_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).select("vec_id", scalars.rms_normalized(F.col("vec")).alias("samples"))
+    return _long(_vectors(spark, sf_dir).withColumn("samples", scalars.rms_normalized(F.col("vec"))), "vec_id", "samples")
+
+
+def knn_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of knn_label_join by the approximate index: half of the cells are looked into."""
+    v = _vectors(spark, sf_dir)
+    centers = index.centroids(v, "vec_id", "vec")
+    near = index.nearest_probed(v, v, "vec_id", "vec", K, centers, probes=-(-len(centers) // 2))
+    return near.select("id", "other", F.col("rn").cast("long").alias("rn"), F.round("sim", 9).alias("sim"))
+
+
+def sweep_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inference for each of a few numbers of neighbours, and how many labels it gets right, in one table."""
+    near = materialize(knn_label_join(spark, sf_dir).select("id", "rn", "label"), "neighbours")
+    known = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").alias("own"))
+
+    def run(k_neighbors: int) -> DataFrame:
+        return vectors.majority_vote(near, k_neighbors).join(known, "id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("own")).alias("right"))
+
+    return runs.sweep([{"k_neighbors": k} for k in (1, 2, 3, 5, 10)], run)
 
 
 def stream_infer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +212,7 @@ def stream_infer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     scan_validate, l2_normalize, scaler_fit, scaler_transform, pca_fit, pca_transform, cosine_threshold_edges, knn_edges, graph_stats, graph_degree, graph_components, cpm_quality, leiden_clusters,
-    resolution_search, nearest_centroid, kmeans_step, kmeans_train, knn_label_join, majority_vote_k1, majority_vote_k3, majority_vote_k10, subsample_semi, apply_membership, rms_normalize, stream_infer_labels,
+    resolution_search, nearest_centroid, kmeans_step, kmeans_train, knn_label_join, majority_vote_k1, majority_vote_k3, majority_vote_k10, subsample_semi, apply_membership, rms_normalize, knn_probed, sweep_union, stream_infer_labels,
 ]
 
 _V = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
@@ -235,6 +253,9 @@ SELECT least(id, other) AS src, greatest(id, other) AS dst, round(max(sim), 9) A
     "majority_vote_k1": f"WITH {_V}, {_NEAR} SELECT id, CAST(label AS BIGINT) AS label FROM nn WHERE rn = 1",
     "majority_vote_k3": _voted(3, "first"),
     "majority_vote_k10": _voted(10, "label"),
+    "stream_infer_labels": _voted(3, "first"),
+    "sweep_union": " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS k_neighbors, count(*) AS n, count(*) FILTER (WHERE o.label = e.label) AS \"right\" FROM ({_voted(k, 'first' if k == 3 else 'label')}) o JOIN embeddings e ON e.vec_id = o.id" for k in (1, 2, 3, 5, 10)),
+    "rms_normalize": f"WITH {_V}, {_X}, r AS (SELECT vec_id, sqrt(sum(x * x) / count(*)) AS r FROM x GROUP BY vec_id) SELECT vec_id, dim, round(CASE WHEN r > 1e-8 THEN x * (0.1::DOUBLE / r) ELSE x END, 6) AS x FROM x JOIN r USING (vec_id)",
     "subsample_semi": "SELECT vec_id, CAST(label AS BIGINT) AS label FROM (SELECT *, row_number() OVER (ORDER BY md5('42/' || vec_id), vec_id) AS r FROM embeddings) WHERE r <= CAST(floor(0.3 * (SELECT count(*) FROM embeddings)) AS BIGINT)",
     "apply_membership": "WITH c AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_id FROM conversations) SELECT row_id, conv_id, turn, CAST(label AS BIGINT) AS unit_id FROM c JOIN embeddings ON vec_id = row_id",
 }

@@ -9,11 +9,13 @@ from __future__ import annotations
 import io
 import os
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,26 +73,58 @@ def segments(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_segments(rows: DataFrame, root: str) -> DataFrame:
-    """Write (utt, seg_idx, start_frame, end_frame, unit_id) as one `.npy` an utterance under ``root`` (a path that all executors
-    share); returns (utt, n_rows), which runs the write when it is used. Files that are complete are left alone."""
+    """Write (utt, seg_idx, start_frame, end_frame, unit_id) as one `.npy` an utterance under ``root``; see `_written`."""
+    return _written(rows, root, 3, lambda pdf: pdf[["start_frame", "end_frame", "unit_id"]].to_numpy(dtype=np.int64))
+
+
+def write_features(rows: DataFrame, root: str) -> DataFrame:
+    """Write (utt, seg_idx, vec) as one single-precision `.npy` an utterance under ``root``; see `_written`."""
+    return _written(rows, root, None, lambda pdf: np.array(pdf["vec"].tolist(), dtype=np.float32))
+
+
+def _written(rows: DataFrame, root: str, columns: int | None, matrix: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """(utt, n_rows); using it runs the write. ``root`` is a path that all executors share or a URI of a store that Arrow reaches;
+    another scheme is an error here. Files that are complete are left alone; a file is whole or not there."""
+    _store(root)  # fails on the driver, before anything is written
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        path = f"{root.split('://', 1)[-1]}/{key[0]}.npy"
-        pdf = pdf.sort_values("seg_idx")
-        if not complete(path, len(pdf)):
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(f"{path}.{os.getpid()}.part", "wb") as f:  # a file is whole or not there
-                np.save(f, pdf[["start_frame", "end_frame", "unit_id"]].to_numpy(dtype=np.int64))
-            os.replace(f"{path}.{os.getpid()}.part", path)
+        store, base = _store(root)
+        path, pdf = f"{base}/{key[0]}.npy", pdf.sort_values("seg_idx")
+        if not complete(f"{root.rstrip('/')}/{key[0]}.npy", len(pdf), columns):
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            store.create_dir(os.path.dirname(path), recursive=True)
+            held = io.BytesIO()
+            np.save(held, matrix(pdf))
+            with store.open_output_stream(part) as f:
+                f.write(held.getvalue())
+            store.move(part, path)
         return pd.DataFrame({"utt": [key[0]], "n_rows": [len(pdf)]})
 
     return rows.groupBy("utt").applyInPandas(run, "utt string, n_rows long")
 
 
-def complete(path: str, rows: int) -> bool:
-    """Whether a file is there, loads, and has three columns and as many rows."""
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path or URI, and the path there."""
+    scheme, _, rest = uri.partition(":")
+    if not rest or "/" in scheme:
+        return fs.LocalFileSystem(), uri.rstrip("/")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.strip("/")
+    try:
+        store, path = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"no store for {uri}") from e
+    return store, path.rstrip("/")
+
+
+def complete(path: str, rows: int, columns: int | None = 3) -> bool:
+    """Whether a file is there, loads, and has as many rows and columns (None: any)."""
+    store, at = _store(path)
+    if store.get_file_info(at).type != fs.FileType.File:
+        return False
     try:
-        x = np.load(path, mmap_mode="r", allow_pickle=False)
-    except (OSError, ValueError):
+        with store.open_input_stream(at) as f:
+            x = np.load(io.BytesIO(f.read()), allow_pickle=False)
+    except (ValueError, EOFError):
         return False
-    return x.ndim == 2 and x.shape == (rows, 3)
+    return x.ndim == 2 and len(x) == rows and columns in (None, x.shape[1])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from unitloom.operators.runs import appended
-from unitloom.storage import materialize
+from unitloom.storage import hadoop_path, materialize
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -14,19 +16,32 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_to_log(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """Add rows to a CSV log: the union of old and new columns, written anew."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
-
-    try:
-        every = appended(read_log(spark, path), rows)
-    except (AnalysisException, Py4JJavaError):
-        every = rows
-    whole = materialize(every, "log")  # the old file is an input: read it whole before it goes
-    whole.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Add rows to a CSV log: the union of old and new columns, written anew beside it; then the two change places.
+
+    The old log is gone only when the new one stands. Should that be broken off in between, the next call finds the old one
+    beside the path and takes it back. A log that cannot be read or joined is an error, and stays as it is.
+    """
+    path = path.rstrip("/")
+    store, log = hadoop_path(spark, path)
+    old, new = hadoop_path(spark, f"{path}.old")[1], hadoop_path(spark, f"{path}.new-{uuid.uuid4().hex}")[1]
+    if not store.exists(log) and store.exists(old):
+        _renamed(store, old, log)
+    there = store.exists(log)
+    whole = materialize(appended(read_log(spark, path), rows) if there else rows, "log")
+    whole.coalesce(1).write.option("header", True).csv(new.toString())
+    if there:
+        store.delete(old, True)
+        _renamed(store, log, old)
+    _renamed(store, new, log)
+    store.delete(old, True)
     return whole
 
 
+def _renamed(store, a, b) -> None:
+    if not store.rename(a, b):
+        raise OSError(f"{a.toString()} could not be renamed to {b.toString()}")
+
+
 def write_scaler(fitted: DataFrame, path: str) -> None:
     fitted.write.mode("overwrite").parquet(path)
 

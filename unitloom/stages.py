@@ -19,7 +19,7 @@ from unitloom.operators import agreement, boundaries, intervals, kmeans, leiden,
 from unitloom.operators.infer import Preparation, infer
 from unitloom.operators.ranking import rank_frequency
 from unitloom.sources import arrays, tables, textgrid
-from unitloom.storage import materialize
+from unitloom.storage import hadoop_path, materialize
 from unitloom.track import Usage, tracked
 
 BIN = 64
@@ -59,6 +59,7 @@ class TrainConfig:
     models_dir: str | None = None  # None: vectors as they are
     subsample: float | None = None
     subsample_seed: int = 42
+    subsample_cache: str | None = None  # a folder that keeps the prepared subsample for later runs
     num_clusters: int = 10_000  # k-means only
     edges: EdgesConfig = field(default_factory=EdgesConfig)
     cluster: ClusterConfig = field(default_factory=ClusterConfig)
@@ -93,6 +94,38 @@ class BoundaryConfig:
     tier: str = "syllables"
 
 
+@dataclass
+class SweepConfig:
+    clustering_method: str
+    run_dir: str
+    features_dir: str
+    segments_dir: str
+    textgrid_dir: str
+    output_dir: str
+    k_neighbors: str = "1,3,10"
+    models_dir: str | None = None
+    compute_nes: bool = False
+    tier: str = "phones"
+    csv_path: str | None = None
+
+
+@dataclass
+class ChainConfig:
+    train: TrainConfig
+    textgrid_dir: str | None = None
+    clustering_method: str = "graph_knn"
+    run_dir: str | None = None
+    number_of_components: int = 350
+    k_neighbors: int = 3
+    compute_nes: bool = False
+    tier: str = "phones"
+    csv_path: str | None = None
+    models: bool = True
+    training: bool = True
+    inference: bool = True
+    evaluation: bool = True
+
+
 def fit_models(spark: SparkSession, config: ModelsConfig) -> Preparation:
     rows = materialize(arrays.features(spark, config.features_dir).withColumn("vec", F.col("vec").cast("array<double>")), "features")
     fitted = vectors.scaler_fit(rows, "vec")
@@ -112,13 +145,20 @@ def read_models(spark: SparkSession, folder: str | None) -> Preparation:
 
 def _prepared(spark: SparkSession, config: TrainConfig) -> DataFrame:
     """(utt, seg_idx, row_id, vec): prepared vectors, of the subsample if one is asked for."""
+    if config.subsample is not None and config.subsample_cache:
+        store, at = hadoop_path(spark, config.subsample_cache)
+        if store.exists(at):
+            return spark.read.parquet(config.subsample_cache)
     rows = intervals.with_row_ids(arrays.features(spark, config.features_dir), "utt", "seg_idx").withColumn("vec", F.col("vec").cast("array<double>"))
     rows = materialize(read_models(spark, config.models_dir).apply(rows, "vec"), "prepared")
     if config.subsample is None:
         return rows
     from unitloom.plans.vector_queries import subsample
 
-    return materialize(subsample(rows, "row_id", config.subsample, config.subsample_seed, "numpy"), "subsample")
+    chosen = materialize(subsample(rows, "row_id", config.subsample, config.subsample_seed, "numpy"), "subsample")
+    if config.subsample_cache:
+        tables.write_once(chosen, config.subsample_cache)
+    return chosen
 
 
 def checked_segments(spark: SparkSession, features: DataFrame, segments_dir: str) -> DataFrame:
@@ -156,7 +196,7 @@ def _graph_communities(ids: DataFrame, edges: DataFrame, c: ClusterConfig) -> tu
     low, high = c.resolution_init_low, c.resolution_init_high
     if c.resolution_specified is not None:
         low, high = max(0.0, c.resolution_specified - 0.1), c.resolution_specified + 0.1
-    found = leiden.ResolutionSearch(ids, edges, c.cluster_count_target, c.cluster_count_tolerance, low, high, c.search_max_iterations, c.search_worker_count, c.seed).run()
+    found = leiden.resolution_search(ids, edges, c.cluster_count_target, c.cluster_count_tolerance, low, high, c.search_max_iterations, c.search_worker_count, c.leiden_iterations, c.seed)
     return found.state, found.point
 
 
@@ -257,6 +297,36 @@ def evaluate_boundaries(spark: SparkSession, config: BoundaryConfig) -> DataFram
     return boundaries.boundary_metrics(gold, cuts, round(config.tolerance * 100))
 
 
+def sweep(spark: SparkSession, config: SweepConfig) -> DataFrame:
+    """Inference and evaluation for each number of neighbours; one row each, in the log too if there is one."""
+
+    def run(k_neighbors: int) -> DataFrame:
+        out = f"{config.output_dir}/knn_{k_neighbors}"
+        infer_labels(spark, InferConfig(config.clustering_method, config.run_dir, config.features_dir, config.segments_dir, out, config.models_dir, k_neighbors))
+        return evaluate(spark, EvaluateConfig(out, config.textgrid_dir, config.compute_nes, config.tier, config.csv_path))
+
+    return runs.sweep([{"k_neighbors": int(k)} for k in config.k_neighbors.split(",")], run)
+
+
+def chain(spark: SparkSession, config: ChainConfig) -> DataFrame | str:
+    """The stages that are switched on, one after the other: models, training, inference on the same folders, evaluation of what was made last."""
+    t, run_dir = config.train, config.run_dir
+    if config.models:
+        t.models_dir = t.models_dir or f"{t.output_dir}/models"
+        fit_models(spark, ModelsConfig(t.features_dir, t.models_dir, config.number_of_components))
+    if config.training:
+        run_dir = (train_kmeans if config.clustering_method.startswith("kmeans") else train_graph)(spark, t)
+    if run_dir is None:
+        raise ValueError("without training a run's folder is needed")
+    made = f"{run_dir}/segments"
+    if config.inference:
+        made = f"{t.output_dir}/inferred_segments/knn_{config.k_neighbors}/{run_dir.rstrip('/').rsplit('/', 1)[-1]}"
+        infer_labels(spark, InferConfig(config.clustering_method, run_dir, t.features_dir, t.segments_dir, made, t.models_dir, config.k_neighbors))
+    if config.evaluation:
+        return evaluate(spark, EvaluateConfig(made, config.textgrid_dir, config.compute_nes, config.tier, config.csv_path))
+    return made
+
+
 def report(spark: SparkSession, eval_path: str, top_n: int = 10) -> DataFrame:
     return runs.report(tables.read_log(spark, eval_path), top_n)
 

@@ -46,10 +46,15 @@ def release(df: DataFrame) -> None:
         _written.remove(known)
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """The file system that Spark uses for a path, and the path there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    store, target = hadoop_path(spark, path)
+    store.delete(target, True)
 
 
 def clean() -> None:

@@ -20,7 +20,7 @@ import bisect
 import copy
 import json
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import ahocorasick
 import numpy as np
@@ -75,11 +75,7 @@ class Encoder:
         if len(self.halves) < len(self.ranks) or not self.halves.keys() <= set(tokens):
             raise ValueError("each merge must make a token of its own")
         self.longest = max(map(len, tokens))
-        self.matcher = ahocorasick.Automaton()
-        for t in tokens:
-            if len(t) == 1 or t in self.halves:  # an entry that no merge makes is never used
-                self.matcher.add_word(t, t)
-        self.matcher.make_automaton()
+        self.used = [t for t in tokens if len(t) == 1 or t in self.halves]  # an entry that no merge makes is never used
         special = sorted((t["content"] for t in spec["added_tokens"] if t["special"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
@@ -87,6 +83,15 @@ class Encoder:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.counts = _Counts(self)
 
+    @cached_property
+    def matcher(self) -> ahocorasick.Automaton:
+        """Made when a piece is first looked through."""
+        found = ahocorasick.Automaton()
+        for t in self.used:
+            found.add_word(t, t)
+        found.make_automaton()
+        return found
+
     def may_follow(self, a: str, b: str) -> bool:
         """Whether a and b stay two tokens when their bytes are encoded together.
 

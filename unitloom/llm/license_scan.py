@@ -122,6 +122,13 @@ class Automaton:
             if self.link[v] > 0:
                 ends[self.link[v]] += ends[v]
         self.ends = [sorted(set(e)) for e in ends]
+        n = len(self.vocabulary) + 1
+        self.pairs, self.base_pairs = np.zeros((n, n), dtype=bool), np.zeros((n, n), dtype=bool)  # words that stand side by side, and those of base phrases
+        for k, (_, ws) in enumerate(sequences):
+            ids = [self.vocabulary[w] for w in ws]
+            self.pairs[ids[:-1], ids[1:]] = True
+            if k >= len(templates):
+                self.base_pairs[ids[:-1], ids[1:]] = True
         own: list[list[tuple[int, str]]] = [[] for _ in self.next]
         for label, ws in phrases:
             state = 0
@@ -180,11 +187,8 @@ class Automaton:
         """Words; (start, label) of each base place; (label, first word, end word, covered share) of each template span."""
         ws = words(text)
         known = np.fromiter(map(self.vocabulary.get, ws, [0] * len(ws)), dtype=np.int32, count=len(ws))
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], (known > 0).view(np.int8), [0]])))
         places, matches = [], []
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if b - a < 2 and self.shortest > 1:
-                continue
+        for a, b in self._runs(known):
             before = (0, 0)
             for i, (state, length) in enumerate(self.statistics(known[a:b].tolist()), a):
                 if length <= before[1] and before[1] >= LEAST_MATCH:
@@ -197,6 +201,19 @@ class Automaton:
                 matches.append((b - before[1], b, before[0]))
         return len(ws), places, self._chains(matches)
 
+    def _runs(self, known: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Stretches outside of which nothing can match: of known words, and cut where two of them stand side by side in no
+        template; of those, the ones that are long enough for a match or hold a pair of a base phrase."""
+        if self.shortest < 2:
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], (known > 0).view(np.int8), [0]])))
+            yield from zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)
+            return
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], self.pairs[known[:-1], known[1:]].view(np.int8), [0]])))
+        start, stop = edge[::2], edge[1::2] + 1
+        base = np.concatenate([[0], np.cumsum(self.base_pairs[known[:-1], known[1:]])])
+        worth = (stop - start >= LEAST_MATCH) | (base[np.maximum(stop - 1, 0)] > base[start]) if len(start) else np.zeros(0, dtype=bool)
+        yield from zip(start[worth].tolist(), stop[worth].tolist(), strict=True)
+
     @property
     def shortest(self) -> int:
         return min(n for _, n in self.templates)

@@ -154,11 +154,11 @@ def _counted(texts: DataFrame, count) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                found.update(count(fold(text)))
-            if len(found) > 500_000:  # bounded memory: part counts are summed later
-                yield _counts(found)
-                found = Counter()
+            for text in b.column(0):
+                found.update(count(fold(text.as_py())))
+                if len(found) > 500_000:  # bounded memory, whatever a batch holds: part counts are summed later
+                    yield _counts(found)
+                    found = Counter()
         yield _counts(found)
 
     return texts.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))

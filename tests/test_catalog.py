@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
 import math
+import zipfile
 
 import duckdb
 import pytest
@@ -46,3 +47,15 @@ def test_entry(spark):
 
 def test_every_query_is_callable():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_source_is_sent_once(spark):
+    from pyspark import SparkFiles
+
+    from unitloom.ship import ship
+
+    for _ in range(2):
+        ship(spark)
+    assert sum(f.endswith("unitloom.zip") for f in spark.sparkContext.listFiles) == 1
+    with zipfile.ZipFile(SparkFiles.get("unitloom.zip")) as sent:
+        assert {"unitloom/__init__.py", "unitloom/operators/graph.py"} <= set(sent.namelist())

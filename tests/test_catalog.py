@@ -59,3 +59,23 @@ def test_source_is_sent_once(spark):
     assert sum(f.endswith("unitloom.zip") for f in spark.sparkContext.listFiles) == 1
     with zipfile.ZipFile(SparkFiles.get("unitloom.zip")) as sent:
         assert {"unitloom/__init__.py", "unitloom/operators/graph.py"} <= set(sent.namelist())
+
+
+def test_batches_for_python_are_bounded(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from unitloom.ship import _BATCH, BATCH_BYTES, prepare
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    own = spark.newSession()
+    prepare(own)
+    texts = own.range(300).repartition(1).select(F.repeat(F.lit("long text "), 10_000).alias("text"))
+    found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert len(found) > 1 and max(found) < 1.5 * BATCH_BYTES
+    own.conf.set(_BATCH, "1m")
+    prepare(own)
+    assert own.conf.get(_BATCH) == "1m"

@@ -11,7 +11,7 @@ import typing
 from pyspark.sql import DataFrame, SparkSession
 
 from unitloom import stages
-from unitloom.ship import ship
+from unitloom.ship import prepare
 
 STAGES = {
     "models": stages.fit_models, "graph": stages.train_graph, "kmeans": stages.train_kmeans, "infer": stages.infer_labels, "evaluate": stages.evaluate, "boundaries": stages.evaluate_boundaries,
@@ -82,7 +82,7 @@ def call(spark: SparkSession, stage: str, values: dict[str, object]):
 def main() -> None:
     stage, values = parse()
     spark = SparkSession.builder.appName(f"unitloom {stage}").getOrCreate()
-    ship(spark)
+    prepare(spark)
     found = call(spark, stage, values)
     if isinstance(found, DataFrame):
         found.show(100, truncate=False)

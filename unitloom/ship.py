@@ -1,4 +1,4 @@
-"""The package's source, sent to Python workers that do not see the driver's folders."""
+"""What Python workers need: the package's source, where they do not see the driver's folders, and batches of bounded size."""
 
 from __future__ import annotations
 
@@ -10,9 +10,20 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of a batch of rows handed to a Python worker. Spark's own bound is 64 MB, which each task holds several times over
+#: (buffers that grow by doubling, the worker's copy, the batch before it); a batch of long texts needs no more than this.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _sent: set[str] = set()
 
 
+def prepare(spark: SparkSession) -> None:
+    """Send the source, and bound the batches unless the session or the application sets a size of its own."""
+    ship(spark)
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Once an application, hand the package to Spark, which serves it to every worker, those started later included."""
     app = spark.sparkContext.applicationId
